@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import compression, decontaminate, packing, simhash
+from siftwood.llm import compression, decontaminate, packing, quality, simhash, toxicity
 from siftwood.llm._shared import table
 
 
@@ -15,10 +15,20 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.compression_bands(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.learn_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -31,7 +41,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
+        "op3_toxicity_fm": op3_toxicity_fm,
         "op4_compression_bands": op4_compression_bands,
+        "op5_quality_fm": op5_quality_fm,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_simhash": op10_simhash,
     }
