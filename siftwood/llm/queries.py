@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import compression, decontaminate, packing, quality, simhash, toxicity
+from siftwood.llm import chat, compression, decontaminate, licenses, packing, quality, simhash, toxicity
 from siftwood.llm._shared import table
 
 
@@ -29,6 +29,15 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents"))
+    return found.withColumn("placements", F.to_json("placements"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -44,10 +53,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity_fm": op3_toxicity_fm,
         "op4_compression_bands": op4_compression_bands,
         "op5_quality_fm": op5_quality_fm,
+        "op7_snapshot_collapse": op7_snapshot_collapse,
+        "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
         "op10_simhash": op10_simhash,
     }
 
 
+#: Prefixes as strings: rows of a turn end with \x1e, its role and text are parted by \x1f.
+CHAT_SQL = """
+WITH t AS (
+  SELECT conv_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS place,
+         count(*) OVER (PARTITION BY conv_id) AS n_turns
+  FROM conversations WHERE conv_id IS NOT NULL),
+p AS (
+  SELECT conv_id, place, n_turns,
+         string_agg(role || chr(31) || text, chr(30)) OVER (PARTITION BY conv_id ORDER BY place) AS prefix
+  FROM t),
+whole AS (
+  SELECT prefix, n_turns, min(conv_id) AS conv_id, count(*) AS n_copies FROM p WHERE place = n_turns GROUP BY ALL),
+proper AS (SELECT DISTINCT prefix FROM p WHERE place < n_turns),
+kept AS (SELECT conv_id, n_turns, n_copies FROM whole WHERE prefix NOT IN (SELECT prefix FROM proper))
+SELECT t.conv_id, t.turn, t.role, '<|' || t.role || '|>' || chr(10) || t.text || chr(10) || '<|end|>' || chr(10) AS rendered,
+       kept.n_turns, kept.n_copies
+FROM t JOIN kept USING (conv_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_snapshot_collapse": CHAT_SQL}
