@@ -7,14 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import chat, compression, decontaminate, licenses, packing, quality, simhash, toxicity
-from siftwood.llm._shared import table
+from siftwood.llm import chat, compression, decontaminate, licenses, packing, quality, simhash, token_counts, toxicity
+from siftwood.llm._shared import Scratch, table
 
 
 def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches: all documents come in, then the exact copies (all but the smallest id of a text) go out; each is
+    committed twice, the second time without effect."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64("text"))
+    counted = scratch.save(token_counts.count_tokens(docs, ["doc_id", "source", "lang", "text_hash"]))
+    text = ["text_hash", "n_chars", "tokenizer"]
+    first = scratch.save(counted.groupBy(*text).agg(F.min("doc_id").alias("first_id")))
+    copies = counted.join(first, text).where("doc_id > first_id")
+    rollup = token_counts.TokenRollup(spark, f"{scratch.root}/rollup")
+    for _ in range(2):
+        rollup.commit("load", token_counts.signed(counted, 1))
+        rollup.commit("drop exact copies", token_counts.signed(copies, -1))
+    return rollup.totals()
+
+
 def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.learn_toxicity(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +66,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seed_decontamination": op1_spaced_seed_decontamination,
+        "op2_token_rollup": op2_token_rollup,
         "op3_toxicity_fm": op3_toxicity_fm,
         "op4_compression_bands": op4_compression_bands,
         "op5_quality_fm": op5_quality_fm,
