@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwood.llm import chat, compression, decontaminate, licenses, packing, quality, simhash, token_counts, toxicity
+from siftwood.llm import chat, compression, decontaminate, licenses, packing, pii, quality, simhash, token_counts, toxicity
 from siftwood.llm._shared import Scratch, table
 
 
@@ -45,6 +45,12 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.learn_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, "base_sha256", pii.spans_text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
+
+
 def op7_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -70,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity_fm": op3_toxicity_fm,
         "op4_compression_bands": op4_compression_bands,
         "op5_quality_fm": op5_quality_fm,
+        "op6_contextual_pii": op6_contextual_pii,
         "op7_snapshot_collapse": op7_snapshot_collapse,
         "op8_license_scan": op8_license_scan,
         "op9_best_fit_packing": op9_best_fit_packing,
