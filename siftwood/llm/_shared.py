@@ -5,9 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space as used by every word pattern here: space and \x09-\x0D; bytes.split() splits on the same.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -71,6 +74,36 @@ def drop_ids(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "doc_id"
     return docs.join(sized_broadcast(key, n_ids, 16), docs[id_col] == F.col("__drop_id"), "left_anti")
 
 
+def filter_rows(docs: DataFrame, text_col: str, decide: Callable[[], Callable[[pa.RecordBatch], list[bool]]], needs: tuple[str, ...] = ()) -> DataFrame:
+    """The rows of docs that decide keeps, all columns as they are, without a shuffle.
+
+    decide() is called once in each task and gives the decision on a batch, whose columns are `raw` (the text's UTF-8
+    bytes, empty for null) and one for each of needs, under that name.  No name of docs is used, so none can clash.
+    """
+    fields = docs.schema.fields
+    rows = docs.select(
+        *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)],
+        *[F.col(f"`{n}`").cast("double").alias(f"n{i}") for i, n in enumerate(needs)],
+    )
+    at_text = [f.name for f in fields].index(text_col)
+
+    def run(batches, size: int = 512):
+        keep = decide()
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                raw = part.column(at_text).cast(pa.binary()).fill_null(b"")
+                seen = pa.RecordBatch.from_arrays(
+                    [raw, *(part.column(len(fields) + i) for i in range(len(needs)))], names=["raw", *needs]
+                )
+                kept = part.filter(pa.array(keep(seen), pa.bool_()))
+                if kept.num_rows:
+                    yield kept.select(range(len(fields)))
+
+    out = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return rows.mapInArrow(run, out).toDF(*[f.name for f in fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.llm._shared import ALNUM, binary_text, drop_ids
+from siftwood.llm._shared import ALNUM, binary_text, filter_rows
 from siftwood.runtime import ship
 
 #: 1: the token counts; 0: it is ignored.
@@ -141,55 +142,87 @@ def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
     return best
 
 
-def _searched(index: SeedIndex):
-    rules = index.rules
+class Searcher:
+    """Finds the verified overlaps of many texts at once with the items of one index."""
 
-    def overlaps(ids: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray):
-        diagonal = at - place
-        seen = np.unique(np.stack([item.astype(np.int64), diagonal]), axis=1)
-        for k, d in seen.T.tolist():
-            other = index.items[k]
+    def __init__(self, index: SeedIndex):
+        self.index, self.rules = index, index.rules
+        self.gap = [0] * max((len(m) for m in index.masks), default=1)  # so that no mask reaches over a text's end
+
+    def _verified(self, ids: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray):
+        for k, d in np.unique(np.stack([item.astype(np.int64), at - place]), axis=1).T.tolist():
+            other = self.index.items[k]
             a, b = max(0, d), min(len(ids), d + len(other))
             equal = ids[a:b] == other[a - d : b - d]
-            i, j = longest_stretch(equal, rules.min_identity)
-            if j - i >= min(rules.min_overlap, len(other)):
-                yield index.item_ids[k], a + i, a + i - d, j - i, int(equal[i:j].sum())
-
+            i, j = longest_stretch(equal, self.rules.min_identity)
+            if j - i >= min(self.rules.min_overlap, len(other)):
+                yield self.index.item_ids[k], (a + i, a + i - d, j - i, int(equal[i:j].sum()))
+
+    def overlaps(self, texts: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
+        """(number of the text, item, (doc_start, item_start, overlap, matched)): the best of each text and item."""
+        get = self.index.vocabulary.get
+        row: list[int] = []
+        begins, lengths = [], []
+        for raw in texts:
+            begins.append(len(row))
+            row += [get(w, 0) for w in tokens(raw)]
+            lengths.append(len(row) - begins[-1])
+            row += self.gap
+        ids = np.array(row, np.uint64)
+        at, item, place = self.index.hits(ids)
+        text = np.searchsorted(np.array(begins), at, "right") - 1
+        for t in np.unique(text).tolist():
+            mine = text == t
+            own = ids[begins[t] : begins[t] + lengths[t]]
+            best: dict[int, tuple] = {}
+            for k, found in self._verified(own, at[mine] - begins[t], item[mine], place[mine]):
+                rank = (found[2], found[3], -found[0])
+                if k not in best or rank > (best[k][2], best[k][3], -best[k][0]):
+                    best[k] = found
+            for k in sorted(best):
+                yield t, k, best[k]
+
+
+def _found(sent):
     def run(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
-        get = index.vocabulary.get
-        reach = max((len(m) for m in index.masks), default=1)
-        gap = [0] * reach  # between texts, so that no mask reaches over an end
+        search = Searcher(sent.value)
+        names = [x.split()[0] for x in HITS.split(", ")]
         for batch in batches:
             for first in range(0, batch.num_rows, size):
                 part = batch.slice(first, size)
-                row: list[int] = []
-                begins, lengths = [], []
-                for raw in part.column(1).to_pylist():
-                    begins.append(len(row))
-                    row += [get(w, 0) for w in raw.translate(ALNUM).split()]
-                    lengths.append(len(row) - begins[-1])
-                    row += gap
-                ids = np.array(row, np.uint64)
-                at, item, place = index.hits(ids)
-                out = []
-                if len(at):
-                    doc = np.searchsorted(np.array(begins), at, "right") - 1
-                    names = part.column(0).to_pylist()
-                    for d in np.unique(doc).tolist():
-                        mine = doc == d
-                        own = ids[begins[d] : begins[d] + lengths[d]]
-                        best: dict[int, tuple] = {}
-                        for k, *rest in overlaps(own, at[mine] - begins[d], item[mine], place[mine]):
-                            if k not in best or (rest[3], -rest[0]) > (best[k][3], -best[k][0]):
-                                best[k] = rest
-                        out += [(names[d], k, *v) for k, v in sorted(best.items())]
+                ids = part.column(0).to_pylist()
+                out = [(ids[t], k, *v) for t, k, v in search.overlaps(part.column(1).to_pylist())]
                 if out:
-                    names_ = [x.split()[0] for x in HITS.split(", ")]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names_)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=names)
 
     return run
 
 
+def _clean(sent):
+    def decide():
+        search = Searcher(sent.value)
+
+        def keep(batch: pa.RecordBatch) -> list[bool]:
+            leaky = {t for t, _, _ in search.overlaps(batch.column("raw").to_pylist())}
+            return [i not in leaky for i in range(batch.num_rows)]
+
+        return keep
+
+    return decide
+
+
+def indexes(benchmark: DataFrame, rules: SeedRules, item_col: str, item_text_col: str) -> Iterator:
+    """Broadcast indexes over blocks of the items, of about max_seeds seeds each at most; one item is never parted."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), binary_text(item_text_col).alias("raw"))
+    # a word needs two bytes with its space, and each mask makes a seed at most for each word
+    size = items.agg(F.sum(F.octet_length("raw") / 2 + 1)).first()[0] or 0
+    blocks = max(1, -(-int(size * len(rules.masks)) // rules.max_seeds))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(blocks)) == k).collect()
+        index = SeedIndex([(r["item_id"], bytes(r["raw"])) for r in block], rules)
+        yield benchmark.sparkSession.sparkContext.broadcast(index)
+
+
 def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -205,36 +238,22 @@ def find_leaks(
     texts count as empty, and empty items match nothing.  Rows with a null id are searched and told with a null id;
     repeated rows of either table give repeated results; other columns are not read.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), binary_text(item_text_col).alias("raw"))
-    # a word needs two bytes with its space, and each mask makes a seed at most for each word
-    size = items.agg(F.sum(F.octet_length("raw") / 2 + 1)).first()[0] or 0
-    blocks = max(1, -(-int(size * len(rules.masks)) // rules.max_seeds))
+    ship(docs.sparkSession)
     searched = docs.select(F.col(id_col).cast("long").alias("doc_id"), binary_text(text_col).alias("raw"))
-    out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "raw"), F.lit(blocks)) == k).collect()
-        index = SeedIndex([(r["item_id"], bytes(r["raw"])) for r in block], rules)
-        if not index.items and k < blocks - 1:
-            continue
-        sent = spark.sparkContext.broadcast(index)
-        found = searched.mapInArrow(_lazy(sent), HITS)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _lazy(sent):
-    def run(batches):
-        yield from _searched(sent.value)(batches)
-
-    return run
-
+    parts = [searched.mapInArrow(_found(sent), HITS) for sent in indexes(benchmark, rules, item_col, item_text_col)]
+    return reduce(DataFrame.unionByName, parts)
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, rules: SeedRules = SeedRules(), id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows that share a verified overlap with an item; rows with a null id are kept."""
-    from siftwood.llm._shared import Scratch
 
-    hits = Scratch(docs.sparkSession).save(find_leaks(docs, benchmark, rules, id_col=id_col).select("doc_id").distinct())
-    ids = hits.where("doc_id is not null").withColumnRenamed("doc_id", id_col)
-    return drop_ids(docs, ids, ids.count(), id_col)
+def remove_leaks(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    rules: SeedRules = SeedRules(),
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+) -> DataFrame:
+    """The rows of docs, all columns as they are, that share a verified overlap with no item."""
+    ship(docs.sparkSession)
+    for sent in indexes(benchmark, rules, item_col, item_text_col):
+        docs = filter_rows(docs, text_col, _clean(sent))
+    return docs

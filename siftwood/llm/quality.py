@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwood.llm import fm, text_features
+from siftwood.llm._shared import filter_rows
+from siftwood.runtime import ship
 
 THRESHOLD = 0.3
 MAX_ROWS = 20_000
@@ -36,3 +38,22 @@ def score_quality(
     """
     found = text_features.score(docs, model, text_features.words_and_structure, id_col, text_col, metadata)
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def _good(sent, threshold: float, metadata: tuple[str, ...]):
+    def decide():
+        model = sent.value
+
+        def keep(batch):
+            return (text_features.scores_of(model, batch, text_features.words_and_structure, metadata) >= threshold).tolist()
+
+        return keep
+
+    return decide
+
+
+def keep_good(docs: DataFrame, model: fm.FMModel, threshold: float = THRESHOLD, metadata: tuple[str, ...] = METADATA, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, with a score of threshold or more."""
+    ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return filter_rows(docs, text_col, _good(sent, threshold, metadata), needs=metadata)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.llm._shared import LOWER, Scratch, binary_text
+from siftwood.llm._shared import LOWER, Scratch, binary_text, drop_ids, sized_broadcast
 from siftwood.runtime import ship
 
 SEED = 42
@@ -305,3 +305,20 @@ def simhash_components(
 
 def hex_fingerprint(col: str = "fp") -> "F.Column":
     return F.lpad(F.lower(F.hex(col)), 16, "0")
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
+    """docs with one row of each component: that with the smallest id.
+
+    Of several rows with that id one stays.  Rows with a null id cannot be told apart by it and all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = scratch.save(simhash_components(docs, id_col, text_col, radius).where("doc_id is not null").select("doc_id", "component_id"))
+    losers = scratch.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct())
+    repeated = scratch.save(found.groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col))
+    kept = drop_ids(docs, losers, losers.count(), id_col)
+    n = repeated.count()
+    if not n:
+        return kept
+    once = kept.join(sized_broadcast(repeated, n, 16), id_col, "left_semi").dropDuplicates([id_col])
+    return drop_ids(kept, repeated, n, id_col).unionByName(once.select(kept.columns))

@@ -90,8 +90,23 @@ def words_and_structure(raw: bytes, extra: tuple, dimensions: int) -> set[int]:
 
 def _numbers(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[tuple]:
     """For each row: (name, log2 of 1 + the number) of each metadata column."""
-    columns = [batch.column(f"meta_{i}").to_pylist() for i in range(len(names))]
-    return [tuple((k, None if v is None else log2(1 + max(v, 0.0))) for k, v in zip(names, row)) for row in zip(*columns)] if names else [()] * batch.num_rows
+    if not names:
+        return [()] * batch.num_rows
+    columns = [batch.column(n).to_pylist() for n in names]
+    return [tuple((k, None if v is None else log2(1 + max(v, 0.0))) for k, v in zip(names, row)) for row in zip(*columns)]
+
+
+def rows_of(batch: pa.RecordBatch, featurise: Featuriser, dimensions: int, metadata: tuple[str, ...]) -> list[np.ndarray]:
+    """The feature numbers of each row of a batch with columns raw and those of metadata."""
+    return [
+        np.fromiter(featurise(raw, extra, dimensions), np.int32)
+        for raw, extra in zip(batch.column("raw").to_pylist(), _numbers(batch, metadata))
+    ]
+
+
+def scores_of(model: fm.FMModel, batch: pa.RecordBatch, featurise: Featuriser, metadata: tuple[str, ...]) -> np.ndarray:
+    rows = rows_of(batch, featurise, model.settings.dimensions, metadata)
+    return model.score(np.concatenate(rows), np.array([len(r) for r in rows]))
 
 
 def _features_of(featurise: Featuriser, dimensions: int, metadata: tuple[str, ...]):
@@ -99,10 +114,7 @@ def _features_of(featurise: Featuriser, dimensions: int, metadata: tuple[str, ..
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                packed = [
-                    np.sort(np.fromiter(featurise(raw, extra, dimensions), np.int32)).tobytes()
-                    for raw, extra in zip(part.column("raw").to_pylist(), _numbers(part, metadata))
-                ]
+                packed = [np.sort(r).tobytes() for r in rows_of(part, featurise, dimensions, metadata)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("y"), pa.array(packed, pa.binary())], names=["id", "y", "features"]
                 )
@@ -110,26 +122,19 @@ def _features_of(featurise: Featuriser, dimensions: int, metadata: tuple[str, ..
     return run
 
 
-def _scores_of(sent, featurise: Featuriser, metadata: tuple[str, ...]):
+def _scored(sent, featurise: Featuriser, metadata: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
-        model: fm.FMModel = sent.value
-        dimensions = model.settings.dimensions
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                rows = [
-                    np.fromiter(featurise(raw, extra, dimensions), np.int32)
-                    for raw, extra in zip(part.column("raw").to_pylist(), _numbers(part, metadata))
-                ]
-                counts = np.array([len(r) for r in rows])
-                score = model.score(np.concatenate(rows), counts)
+                score = scores_of(sent.value, part, featurise, metadata)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score)], names=["id", "score"])
 
     return run
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...], *more) -> DataFrame:
-    numbers = [F.col(m).cast("double").alias(f"meta_{i}") for i, m in enumerate(metadata)]
+    numbers = [F.col(m).cast("double").alias(m) for m in metadata]
     return docs.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col).alias("raw"), *numbers, *more)
 
 
@@ -186,5 +191,5 @@ def score(
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # its size is fixed by the hash space and the rank
-    scored = _inputs(docs, id_col, text_col, metadata).mapInArrow(_scores_of(sent, featurise, metadata), "id long, score double")
+    scored = _inputs(docs, id_col, text_col, metadata).mapInArrow(_scored(sent, featurise, metadata), "id long, score double")
     return scored.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score")
