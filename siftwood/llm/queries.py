@@ -47,7 +47,7 @@ def op5_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
+    counts = [F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, "base_sha256", pii.spans_text(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
