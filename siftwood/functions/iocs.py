@@ -42,10 +42,19 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, then) -> Column:
+    """then(value) with value computed once: inside, it is a lambda's variable, however often it is named."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def distinct_folded(values: Column) -> Column:
     """The values without repeats that differ in case only; the first spelling stays, in order."""
-    folded = F.transform(values, F.lower)
-    return F.filter(values, lambda v, i: F.array_position(folded, F.lower(v)) == i + 1)
+
+    def firsts(v: Column) -> Column:
+        several = let(F.transform(v, F.lower), lambda folded: F.filter(v, lambda x, i: F.array_position(folded, F.lower(x)) == i + 1))
+        return F.when(F.size(v) < 2, v).otherwise(several)
+
+    return let(values, firsts)
 
 
 def ip_number(ip: Column) -> Column:
@@ -98,34 +107,48 @@ def indicators(
     text = F.coalesce(text.cast("string"), F.lit(""))
     if refang:
         text = refanged(text)
-    sha256 = distinct_folded(matches(text, SHA256))
-    sha1 = distinct_folded(matches(text, SHA1))
-    md5 = distinct_folded(matches(text, MD5))
-    ips = F.filter(matches(text, IPV4), lambda ip: ~ip.endswith(".0.0") & (F.lit(include_private) | ~is_private(ip)))
-    urls = F.filter(F.transform(matches(text, URL), lambda u: F.regexp_replace(u, URL_TAIL, "")), lambda u: F.length(u) > 10)
-    emails = distinct_folded(matches(text, EMAIL))
-    seen = F.concat(
-        F.transform(emails, lambda e: F.lower(F.split_part(e, F.lit("@"), F.lit(2)))), F.transform(urls, url_host)
-    )
+    none = F.array().cast("array<string>")
+
+    def found(pattern: str, sign: Column, group: int = 0) -> Column:
+        """Matches where a cheap sign of them occurs: most texts hold none, and are not searched."""
+        return F.when(sign, matches(text, pattern, group)).otherwise(none)
+
+    has = lambda s: F.contains(text, F.lit(s))
+    ips = F.filter(found(IPV4, text.rlike(r"\d\.\d")), lambda ip: ~ip.endswith(".0.0") & (F.lit(include_private) | ~is_private(ip)))
+    urls = F.filter(F.transform(found(URL, has("://")), lambda u: F.regexp_replace(u, URL_TAIL, "")), lambda u: F.length(u) > 10)
+    passwords = F.filter(found(PASSWORD, text.rlike("(?i)pw|kennwort|passw|passcode"), 1), lambda p: (F.length(p) >= 4) & ~F.lower(p).isin(*NOT_PASSWORDS))
     skipped = F.array(*[F.lit(d) for d in sorted({*SKIPPED_DOMAINS, *skip_domains})])
 
-    def telling(d: Column) -> Column:
-        labels = F.split(F.lower(d), r"\.")
-        short = (F.size(labels) == 2) & (F.length(F.get(labels, F.lit(0))) <= 3)
-        return ~F.array_contains(skipped, F.lower(d)) & ~F.array_contains(seen, F.lower(d)) & ~short
-
-    passwords = F.filter(matches(text, PASSWORD, 1), lambda p: (F.length(p) >= 4) & ~F.lower(p).isin(*NOT_PASSWORDS))
-    return F.struct(
-        distinct_folded(ips).alias("ipv4"),
-        distinct_folded(matches(text, IPV6 if strict else IPV6_FULL)).alias("ipv6"),
-        distinct_folded(urls).alias("urls"),
-        emails.alias("emails"),
-        distinct_folded(F.filter(matches(text, DOMAIN), telling)).alias("domains"),
-        md5.alias("md5"),
-        sha1.alias("sha1"),
-        sha256.alias("sha256"),
-        distinct_folded(passwords).alias("passwords"),
+    def domains(emails: Column, addresses: Column) -> Column:
+        seen = F.concat(F.transform(emails, lambda e: F.lower(F.split_part(e, F.lit("@"), F.lit(2)))), F.transform(addresses, url_host))
+
+        def telling(known: Column):
+            def keep(d: Column) -> Column:
+                labels = F.split(F.lower(d), r"\.")
+                short = (F.size(labels) == 2) & (F.length(F.get(labels, F.lit(0))) <= 3)
+                return ~F.array_contains(skipped, F.lower(d)) & ~F.array_contains(known, F.lower(d)) & ~short
+
+            return keep
+
+        return let(seen, lambda known: distinct_folded(F.filter(found(DOMAIN, text.rlike(r"[a-zA-Z0-9]\.[a-zA-Z0-9]")), telling(known))))
+
+    def whole(x: Column) -> Column:
+        return F.struct(
+            distinct_folded(ips).alias("ipv4"),
+            distinct_folded(found(IPV6 if strict else IPV6_FULL, has(":"))).alias("ipv6"),
+            x["u"].alias("urls"),
+            x["e"].alias("emails"),
+            domains(x["e"], x["u"]).alias("domains"),
+            distinct_folded(found(MD5, x["hex"])).alias("md5"),
+            distinct_folded(found(SHA1, x["hex"])).alias("sha1"),
+            distinct_folded(found(SHA256, x["hex"])).alias("sha256"),
+            distinct_folded(passwords).alias("passwords"),
+        )
+
+    parts = F.struct(
+        distinct_folded(urls).alias("u"), distinct_folded(found(EMAIL, has("@"))).alias("e"), text.rlike("[0-9a-fA-F]{32}").alias("hex")
     )
+    return let(parts, whole)
 
 
 def long_indicators(nodes: DataFrame, text: Column, *keys: str, **settings) -> DataFrame:
