@@ -22,7 +22,7 @@ class Broker(StatefulProcessor):
     """For each root: known passwords, and archives that none has opened.  A new password is tried on all that wait, a
     new archive with all that are known; what opens is told once, and waits no longer.  State expires after ttl_ms."""
 
-    def __init__(self, ttl_ms: int):
+    def __init__(self, ttl_ms: int | None):
         self.ttl_ms = ttl_ms
 
     def init(self, handle) -> None:
@@ -61,10 +61,10 @@ class Broker(StatefulProcessor):
         pass
 
 
-def unlocked(events: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def unlocked(events: DataFrame, ttl_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """(root_id, node_id, password, source_node_id) of a stream of (root_id, node_id, password or null, content or null).
 
-    Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
+    Without ttl_ms state never expires.  Needs the RocksDB state store (spark.sql.streaming.stateStore.providerClass).
     """
     ship(events.sparkSession)
-    return events.groupBy("root_id").transformWithStateInPandas(Broker(ttl_ms), OUTPUT, outputMode="Append", timeMode="ProcessingTime")
+    return events.groupBy("root_id").transformWithStateInPandas(Broker(ttl_ms), OUTPUT, outputMode="Append", timeMode="ProcessingTime" if ttl_ms else "None")

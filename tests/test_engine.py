@@ -327,9 +327,8 @@ def test_passwords_and_archives_in_any_order(spark, tmp_path):
         for k, rows in enumerate(batches):
             spark.createDataFrame([(*r[:3], bytearray(r[3]) if r[3] else None) for r in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
             stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-            q = unlocked(stream).writeStream.foreachBatch(lambda df, _: found.extend(df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-            q.processAllAvailable()
-            q.stop()
+            q = unlocked(stream, ttl_ms=None).writeStream.foreachBatch(lambda df, _: found.extend(df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+            assert q.awaitTermination(60)
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     assert {(r.root_id, r.node_id, r.password, r.source_node_id) for r in found} == {("r", "z2", "second", "p1"), ("r", "z1", "first", "p2")}
