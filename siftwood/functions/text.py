@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftwood.functions.iocs import let
+
 # Frequent function words by language; words that announce a password.
 STOP_WORDS = {
     "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "sich", "auf", "den", "von", "zu", "im", "dem", "des", "auch", "für", "werden"),
@@ -29,17 +31,16 @@ def decoded(content: Column) -> Column:
 def language(text: Column) -> Column:
     """The language with the most frequent function words in the text; ties go by name; null where there is none, or
     the text is short."""
-    words = F.split(F.lower(text), r"[^\p{L}]+")
 
-    def hits(stops: tuple[str, ...]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*stops)))
+    def best(words: Column) -> Column:
+        def hits(stops: tuple[str, ...]) -> Column:
+            return F.size(F.filter(words, lambda w: w.isin(*stops)))
+
+        scores = [F.struct(hits(stops).alias("n"), F.lit(-k).alias("rank"), F.lit(lang).alias("lang")) for k, (lang, stops) in enumerate(sorted(STOP_WORDS.items()))]
+        return F.array_max(F.array(*scores))
 
-    scores = [
-        F.struct(hits(stops).alias("n"), F.lit(-k).alias("rank"), F.lit(lang).alias("lang"))
-        for k, (lang, stops) in enumerate(sorted(STOP_WORDS.items()))
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.when((F.length(F.trim(text)) >= LEAST_TEXT) & (best["n"] > 0), best["lang"])
+    told = let(let(F.split(F.lower(text), r"[^\p{L}]+"), best), lambda x: F.when(x["n"] > 0, x["lang"]))
+    return F.when(F.length(F.trim(text)) >= LEAST_TEXT, told)
 
 
 def normalized_password(word: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.config import Flags
-from siftwood.functions import content, formats, mail
+from siftwood.functions import compound, content, formats, mail
 from siftwood.runtime import ship
 
 
@@ -68,9 +68,9 @@ REGISTRY: list[Analyzer] = [
     Analyzer("MsgAnalyzer", 20, ("application/vnd.ms-outlook",), None, needs=("extract_msg",)),
     Analyzer("MboxAnalyzer", 20, ("application/mbox",), formats.mailbox_file),
     Analyzer("OfficeDocumentAnalyzer", 20, _OFFICE + _MACRO, formats.office_package, _package_probe),
-    Analyzer("OLEOfficeAnalyzer", 10, ("application/msword", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", "application/vnd.ms-office"), None, lambda: F.hex(F.substring("content", 1, 8)) == "D0CF11E0A1B11AE1", needs=("olefile",)),
+    Analyzer("OLEOfficeAnalyzer", 10, ("application/msword", "application/vnd.ms-excel", "application/vnd.ms-powerpoint", "application/vnd.ms-office"), compound.compound_document, lambda: F.hex(F.substring("content", 1, 8)) == "D0CF11E0A1B11AE1"),
     Analyzer("RTFAnalyzer", 20, ("application/rtf", "text/rtf"), formats.rich_text),
-    Analyzer("ImageAnalyzer", 20, ("image/png", "image/jpeg", "image/gif", "image/bmp", "image/tiff", "image/webp"), None, needs=("PIL",)),
+    Analyzer("ImageAnalyzer", 20, ("image/png", "image/jpeg", "image/gif", "image/bmp", "image/tiff", "image/webp"), compound.image),
     Analyzer("ICSAnalyzer", 20, ("text/calendar", "application/ics"), formats.calendar),
     Analyzer("RARAnalyzer", 10, ("application/vnd.rar", "application/x-rar"), None, needs=("rarfile",), programs=("unrar",)),
     Analyzer("ScriptAnalyzer", 20, ("text/javascript", "application/javascript", "application/x-javascript", "application/ecmascript", "text/ecmascript", "text/jscript", "application/hta"), formats.script, _script_probe),

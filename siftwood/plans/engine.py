@@ -7,7 +7,6 @@ executor costs the level at work and no more.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -22,6 +21,7 @@ from siftwood.operators import rules
 from siftwood.operators import timeline as timeline_ops
 from siftwood.operators.reports import make_report
 from siftwood.plans.analyzers import analysed
+from siftwood.runtime import scratch_folder
 from siftwood.schema import severity_name
 
 
@@ -38,11 +38,7 @@ class Store:
     """Tables below spark.checkpoint.dir, or below a temporary folder where that is unset."""
 
     def __init__(self, spark: SparkSession):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="siftwood-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.spark, self.root = spark, f"{base.rstrip('/')}/triage-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, scratch_folder(spark, "triage")
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"

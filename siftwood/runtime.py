@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,15 @@ def ship(spark: SparkSession) -> None:
             out.write(source, Path(package.name) / source.relative_to(package))
     context.addPyFile(str(archive))
     context._siftwood_shipped = True
+
+
+_own_folder: str | None = None
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's path below spark.checkpoint.dir; only where that is unset, below a temporary one of this process."""
+    global _own_folder
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        _own_folder = base = _own_folder or tempfile.mkdtemp(prefix="siftwood-")
+    return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
