@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftwood.runtime import scratch_folder
+
 #: ASCII white space as used by every word pattern here: space and \x09-\x0D; bytes.split() splits on the same.
 WHITE = b" \t\n\x0b\x0c\r"
 #: A-Z to a-z, everything else unchanged (safe on UTF-8: multi-byte sequences hold no ASCII).
@@ -31,11 +32,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="siftwood-")
-            spark.conf.set("spark.checkpoint.dir", base)
-        self.root = f"{base.rstrip('/')}/siftwood-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
+        self.root = scratch_folder(spark, "siftwood")
         self._paths: dict[int, str] = {}
         atexit.register(self._remove, self.root)
 
