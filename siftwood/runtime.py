@@ -10,8 +10,23 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: What a worker is handed at once where the session says nothing else: rows, and bytes where Spark can count them.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """Texts differ in length by orders of magnitude, and Spark's batches of 10,000 rows can outgrow a worker.
+
+    Only settings that the session has not made itself are changed.
+    """
+    for key, most in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, str(most))
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package's sources to the executors, once for each Spark context."""
+    """Sends this package's sources to the executors, once for each Spark context, and bounds the batches of workers."""
+    _small_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_siftwood_shipped", False):
         return
