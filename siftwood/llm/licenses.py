@@ -1,10 +1,10 @@
-"""License scans through a positional index of rare words, with DataFrame functions only.
+"""License scans through a positional index of vocabulary words, with DataFrame functions only.
 
 Templates are short notices of well-known licences.  Their words, without function words, form a small vocabulary.
 1. One pass keeps, of each file, the places of base phrases and of vocabulary words; a file without any keeps nothing.
-2. Document frequencies over all files give each vocabulary word its IDF.  A file looks up its words of the highest IDF.
-3. Each look-up meets the word's postings (template, place in the template).  File place minus template place is the
-   relative position; look-ups that agree on template and relative position are one placement of that template.
+2. Document frequencies over all files give each vocabulary word its IDF.
+3. Each occurrence of a vocabulary word meets the word's postings (template, place in the template).  File place minus
+   template place is the relative position; occurrences that agree on both are one placement of that template.
 4. A placement is verified: words that weigh at least min_share of the template's IDF stand at their places, and the
    template's key phrase stands consecutively at its place.
 """
@@ -59,10 +59,9 @@ FUNCTION_WORDS = frozenset("a all an and any are as by can for has in into is it
 
 @dataclass(frozen=True)
 class LicenseRules:
-    """lookups: words of highest IDF that a file looks up.  min_share: of a template's IDF that must be in place."""
+    """min_share: of a template's IDF that must be in place."""
 
     templates: tuple[Template, ...] = TEMPLATES
-    lookups: int = 16
     min_share: float = 0.6
 
 
@@ -136,31 +135,12 @@ def scan_licenses(docs: DataFrame, rules: LicenseRules = LicenseRules(), id_col:
         words = t.text.split()
         weights[number] = sum(idf[w] for w in words if w in idf)
         postings += [(number, place, w, idf[w] / weights[number]) for place, w in enumerate(words) if w in idf]
-    # a look-up takes a file's words of the highest IDF
-    weight_of = F.create_map(*[x for w in vocabulary for x in (F.lit(w), F.lit(idf[w]))])
-    distinct = F.array_distinct(F.transform("found", lambda x: x["word"]))
-    ranked = F.slice(
-        F.array_sort(F.transform(distinct, lambda w: F.struct((-weight_of[w]).alias("w"), w.alias("word")))), 1, rules.lookups
-    )
-    looked_up = (
-        files.where(F.size("found") > 0)
-        .select("row", "found", F.transform(ranked, lambda x: x["word"]).alias("chosen"))
-        .select("row", "chosen", F.explode("found").alias("x"))
-        .where(F.array_contains("chosen", F.col("x.word")))
-        .select("row", F.col("x.pos").alias("pos"), F.col("x.word").alias("word"))
-    )
     index = F.broadcast(spark.createDataFrame(postings, "template int, place int, word string, share double"))
-    candidates = (
-        looked_up.join(index, "word")
-        .withColumn("start", F.col("pos") - F.col("place"))
-        .groupBy("row", "template", "start")
-        .agg(F.count("*").alias("agreeing"))
-        .where((F.col("agreeing") >= 2) & (F.col("start") >= 0))
-    )
-    # verification over all of the file's vocabulary words, not only those that were looked up
-    shares = (
+    # every occurrence is looked up: the vocabulary is fixed, so a file with many notices costs no more for each word
+    placed = (
         occurrences.join(index, "word")
         .withColumn("start", F.col("pos") - F.col("place"))
+        .where(F.col("start") >= 0)
         .groupBy("row", "template", "start")
         .agg(F.sum("share").alias("share"))
     )
@@ -171,8 +151,7 @@ def scan_licenses(docs: DataFrame, rules: LicenseRules = LicenseRules(), id_col:
         )
     )
     verified = (
-        candidates.join(shares, ["row", "template", "start"])
-        .where(F.col("share") >= rules.min_share)
+        placed.where(F.col("share") >= rules.min_share)
         .join(facts, "template")
         .join(files.select("row", "keys"), "row")
         .where(F.array_contains(F.get("keys", F.col("key")), F.col("start") + F.col("key_place")))

@@ -52,6 +52,16 @@ def test_every_template_finds_itself(spark, documents):
         assert t.label in found[n].labels.split(",") and (t.label, 2) in {(p.label, p.start) for p in found[n].placements}
 
 
+def test_files_with_many_notices_lose_none(spark, documents):
+    mit, bsd = (next(t.text for t in licenses.TEMPLATES if t.label == x and len(t.text) > 60) for x in ("mit", "bsd"))
+    apache = licenses.TEMPLATES[0].text
+    docs = {n: f"notice {apache}" for n in range(40)}  # common, so that its words have the lowest IDF
+    docs |= {100: f"{mit}. {bsd}. {apache}.", 101: ". ".join(t.text for t in licenses.TEMPLATES)}
+    found = {r.doc_id: r for r in licenses.scan_licenses(documents(docs)).collect()}
+    assert found[100].labels == "apache-2.0,bsd,mit"
+    assert {t.label for t in licenses.TEMPLATES} <= set(found[101].labels.split(","))
+
+
 def test_query_against_brute_force(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     found = op8_license_scan(spark, small)
