@@ -6,8 +6,10 @@ numbers.  They are the seeds of a bootstrap over the whole corpus:
 1. One pass takes down every seed, every looser candidate (an address with "(at)", a number without its plus, a card of
    unusual length) and every other number, with the words around it as lexical patterns.
 2. Patterns and instances form a bipartite graph.  In each round a pattern's confidence for a kind is the share of
-   reliable instances of that kind among all it stands beside (candidates that are still open count by `doubt`), and a
-   candidate's reliability is that at least one of its confident patterns is right.
+   instances of that kind (seeds, and candidates accepted so far) among these and the ones that contradict it: instances
+   of other kinds, other numbers, and by `doubt` open candidates that cannot be of the kind.  Open candidates of the kind
+   itself say nothing.  A candidate's reliability is that at least one of its confident patterns is right; one that
+   equals a seed is reliable from the start.
 3. Candidates that end above `accept` are identifiers of that kind, wherever in the corpus they stand.
 
 Graph edges are aggregated, instances are kept as hashes, and joins are between stored tables, so that a pattern beside
@@ -189,7 +191,7 @@ def _noted(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Re
                     marked = [(KINDS[k], a, b, text[a:b].lower() if k < 2 else _digits(text[a:b])) for k, a, b in base]
                     for kind, a, b, value in marked + _candidates(text, base):
                         patterns = _patterns(text, a, b)
-                        if patterns or kind[0] == "?":
+                        if patterns or kind != OTHER:
                             own.append({"kind": kind, "a": a, "b": b, "instance": _key(value), "patterns": patterns})
                 mentions.append(own)
             yield pa.RecordBatch.from_arrays(
@@ -200,9 +202,9 @@ def _noted(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.Re
 
 @dataclass(frozen=True)
 class BootstrapRules:
-    """rounds: of scoring.  seeds: distinct seed instances a pattern needs.  confident: a pattern's least confidence.
+    """rounds: of scoring.  seeds: distinct instances of a kind that a pattern needs.  confident: its least confidence.
 
-    doubt: what an open candidate weighs against a pattern.  accept: a candidate's least reliability in the end.
+    doubt: what an open candidate of another kind weighs against a pattern.  accept: a candidate's least reliability.
     """
 
     rounds: int = 3
@@ -214,46 +216,53 @@ class BootstrapRules:
 
 def bootstrap(noted: DataFrame, rules: BootstrapRules, scratch: Scratch) -> DataFrame:
     """(instance, kind, reliability) of the candidates that are accepted."""
-    edges = scratch.save(
-        noted.select(F.explode("mentions").alias("m"))
-        .select("m.kind", "m.instance", F.explode("m.patterns").alias("pattern"))
-        .distinct()
+    mentions = noted.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", "m.patterns")
+    edges = mentions.select("kind", "instance", F.explode("patterns").alias("pattern"))
+    sides = [F.max(F.col("kind") == f"{mark}{k}").alias(f"{name}_{k}") for mark, name in (("", "is"), ("?", "may")) for k in KINDS]
+    pairs = scratch.save(edges.groupBy("pattern", "instance").agg(F.max(F.col("kind") == OTHER).alias("other"), *sides))
+    candidates = scratch.save(
+        edges.where(F.col("kind").startswith("?")).select("pattern", "instance", F.substring("kind", 2, 16).alias("kind")).distinct()
     )
-    known = edges.where(~F.col("kind").startswith("?"))
-    counts = known.groupBy("pattern").agg(
-        F.count("*").alias("known"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
+    named = mentions.where(F.col("kind") != OTHER).select("instance", F.ltrim("kind", F.lit("?")).alias("kind"), F.col("kind").startswith("?").alias("open"))
+    # a candidate that equals a seed
+    equal = scratch.save(
+        named.groupBy("instance", "kind").agg(F.max("open").alias("open"), F.min("open").alias("all_open"))
+        .where("open and not all_open")
+        .select("instance", "kind", F.lit(1.0).alias("reliability"))
     )
-    seeded = scratch.save(
-        counts.select("pattern", "known", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in KINDS])).alias("s"))
-        .select("pattern", "known", "s.kind", "s.n")
-        .where(F.col("n") >= rules.seeds)
-    )
-    open_ = scratch.save(
-        edges.where(F.col("kind").startswith("?"))
-        .select("pattern", "instance", F.substring("kind", 2, 16).alias("kind"))
-        .join(seeded.select("pattern", "kind"), ["pattern", "kind"], "left_semi")
-    )
-    reliable = scratch.save(open_.select("instance", "kind", F.lit(0.0).alias("reliability")).distinct())
+    reliable = equal
     for _ in range(rules.rounds):
-        seen = open_.join(reliable, ["instance", "kind"])
-        sums = scratch.save(
-            seen.groupBy("pattern", "kind").agg(F.sum("reliability").alias("pos"), F.sum(1 - F.col("reliability")).alias("open"))
+        kinds = reliable.groupBy("instance").agg(F.collect_set("kind").alias("kinds"))
+        seen = pairs.join(kinds, "instance", "left").select(
+            "pattern",
+            "other",
+            *[F.col(f"may_{k}") for k in KINDS],
+            *[(F.col(f"is_{k}") | F.coalesce(F.array_contains("kinds", k), F.lit(False))).alias(f"is_{k}") for k in KINDS],
         )
-        share = (F.col("n") + F.col("pos")) / (F.col("known") + F.col("pos") + rules.doubt * F.col("open"))
+        told = F.col("other")
+        for k in KINDS:
+            told = told | F.col(f"is_{k}")
+        sums = []
+        for k in KINDS:
+            against = F.when(F.col(f"is_{k}"), 0.0).when(told, 1.0).when(~F.col(f"may_{k}"), rules.doubt).otherwise(0.0)
+            sums.append(F.struct(F.lit(k).alias("kind"), F.count_if(f"is_{k}").alias("n"), F.sum(against).alias("against")))
         patterns = scratch.save(
-            sums.join(seeded, ["pattern", "kind"])
-            .select("pattern", "kind", F.least(share, F.lit(0.99)).alias("confidence"))
+            seen.groupBy("pattern").agg(F.array(*sums).alias("sums"))
+            .select("pattern", F.explode("sums").alias("s"))
+            .where(F.col("s.n") >= rules.seeds)
+            .select("pattern", "s.kind", F.least(F.col("s.n") / (F.col("s.n") + F.col("s.against")), F.lit(0.99)).alias("confidence"))
             .where(F.col("confidence") >= rules.confident)
         )
-        found = open_.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(
+        found = candidates.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("reliability")
         )
         before, reliable = reliable, scratch.save(
-            reliable.select("instance", "kind").join(found, ["instance", "kind"], "left").withColumn("reliability", F.coalesce("reliability", F.lit(0.0)))
+            found.where(F.col("reliability") >= rules.accept).unionByName(equal).groupBy("instance", "kind").agg(F.max("reliability").alias("reliability"))
         )
-        for x in (before, sums, patterns):
-            scratch.drop(x)
-    return reliable.where(F.col("reliability") >= rules.accept)
+        scratch.drop(patterns)
+        if before is not equal:
+            scratch.drop(before)
+    return reliable
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -53,6 +53,18 @@ def test_contexts_discover_unseen_identifiers(spark, documents):
     assert masked[0] == masked[7] == "please call me at [PHONE] today"
 
 
+def test_unseen_candidates_do_not_speak_against_a_pattern(spark, documents):
+    docs = {i: f"please call me at +1 (811) 555-{3000 + i} today" for i in range(8)}
+    docs |= {100 + i: f"please call me at 811-555-{4000 + i} today" for i in range(200)}  # far more unseen ones than seeds
+    docs |= {400 + i: f"my line is 811-555-{4000 + i}" for i in range(5)}  # accepted ones induce a pattern of their own
+    docs |= {500: "my line is 811-555-9999", 501: "18115553001 dialled"}  # found in the second round; equals a seed
+    docs |= {600 + i: f"ticket +1 (811) 555-{5000 + i}" for i in range(3)} | {610 + i: f"ticket {1000 + i}" for i in range(3)}
+    docs |= {620: "ticket 811-555-8888"}  # beside tickets stand as many other numbers
+    found = {r.doc_id: [(s.kind, docs[r.doc_id][s.a : s.b]) for s in r.added] for r in pii.find_spans(documents(docs)).collect() if r.added}
+    expected = {100 + i: [(3, f"811-555-{4000 + i}")] for i in range(200)} | {400 + i: [(3, f"811-555-{4000 + i}")] for i in range(5)}
+    assert found == expected | {500: [(3, "811-555-9999")], 501: [(3, "18115553001")]}
+
+
 def test_mask_overlaps():
     assert pii.mask("ab cd ef", [(3, 0, 5), (2, 3, 8)]) == "[PHONE]"
     assert pii.mask("x 1.2.3.4", [(1, 2, 9)]) == "x [IP]"
