@@ -3,8 +3,12 @@
 A mask is a fixed pattern of token positions; those it leaves out are ignored.  The tokens at a mask's positions are
 hashed at every place of the benchmark items and of the training texts.  Where the hashes meet, item and text are laid
 on each other at that offset, and the stretch around the hit is verified: the longest stretch in which at least
-min_identity of the tokens agree must reach min_overlap tokens (or the whole item where that is shorter).  Substituted
-tokens thus neither hide a hit (they may fall on ignored positions, of one of several masks) nor break the overlap.
+min_identity of the tokens agree must reach min_overlap tokens.  Substituted tokens thus neither hide a hit (they may
+fall on ignored positions, of one of several masks) nor break the overlap.
+
+An item of at most min_overlap tokens is laid on the text as a whole: min_identity of its tokens must agree, and tokens
+that are substituted or missing at its ends count as any others.  Where that allows m of them, the item is cut into
+m + 1 pieces, one of which has to stand in the text unchanged; the pieces are its seeds, so no such place is missed.
 
 Items go in blocks whose seeds fit a stated bound, so the table that a task holds never grows with the benchmark; each
 block is joined to all documents in one pass without a shuffle.
@@ -27,6 +31,8 @@ from siftwood.runtime import ship
 #: 1: the token counts; 0: it is ignored.
 MASKS = ("11101101", "1101000110101", "110010100100111")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: In place of a token behind a short item's end.
+FILL = np.uint64(2**64 - 1)
 HITS = "doc_id long, item_id long, doc_start long, item_start long, overlap long, matched long"
 
 
@@ -62,6 +68,17 @@ def seed_hashes(ids: np.ndarray, mask: str) -> np.ndarray:
     return out
 
 
+def needed(n: int, rules: SeedRules) -> int:
+    """Tokens of n that have to agree, in whole thousandths as in longest_stretch."""
+    return max(1, -(-n * round(rules.min_identity * 1000) // 1000))
+
+
+def pieces(n: int, need: int) -> list[tuple[int, int]]:
+    """n places cut into one piece more than may disagree, so that one piece at least agrees as a whole."""
+    k = n - need + 1
+    return [(n * i // k, n * (i + 1) // k) for i in range(k)]
+
+
 class SeedIndex:
     """The seeds of a block of items, sorted by hash, with a bit map in front."""
 
@@ -77,20 +94,36 @@ class SeedIndex:
                 self.items.append(
                     np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
                 )
-        #: An item that is shorter than a mask is looked up as a whole, by a mask without gaps.
-        shortest = min(len(m) for m in rules.masks)
-        whole = sorted({"1" * len(x) for x in self.items if len(x) < shortest})
-        self.masks = [*rules.masks, *whole]
+        #: Tokens that have to agree where the item is verified as a whole, 0 where it is not.
+        self.need = np.array([needed(len(x), rules) if len(x) <= rules.min_overlap else 0 for x in self.items], np.int64)
+        short = np.flatnonzero(self.need)
+        cuts = {k: pieces(len(self.items[k]), int(self.need[k])) for k in short.tolist()}
+        #: The tokens of short items, filled up with a number that no text holds.
+        self.width = max((len(self.items[k]) for k in cuts), default=0)
+        self.row = np.zeros(len(self.items), np.int64)
+        self.row[short] = np.arange(len(short))
+        self.whole = np.full((len(short), self.width), FILL)
+        for k in cuts:
+            self.whole[self.row[k], : len(self.items[k])] = self.items[k]
+        self.masks = [*rules.masks, *sorted({"1" * (b - a) for cut in cuts.values() for a, b in cut})]
+        number = {mask: m for m, mask in enumerate(self.masks)}
         hashes, owners, places, marks = [], [], [], []
-        for m, mask in enumerate(self.masks):
-            for k, ids in enumerate(self.items):
-                if mask in whole and len(ids) != len(mask):
-                    continue
-                h = seed_hashes(ids, mask)
-                hashes.append(h)
-                owners.append(np.full(len(h), k))
-                places.append(np.arange(len(h)))
-                marks.append(np.full(len(h), m))
+
+        def note(k: int, m: int, h: np.ndarray, at: np.ndarray) -> None:
+            hashes.append(h)
+            owners.append(np.full(len(h), k))
+            places.append(at)
+            marks.append(np.full(len(h), m))
+
+        for k, ids in enumerate(self.items):
+            if k in cuts:
+                for a, b in cuts[k]:
+                    mask = "1" * (b - a)
+                    note(k, number[mask], seed_hashes(ids[a:b], mask), np.array([a]))
+            else:
+                for mask in rules.masks:
+                    h = seed_hashes(ids, mask)
+                    note(k, number[mask], h, np.arange(len(h)))
         cat = lambda xs, t: np.concatenate(xs).astype(t) if xs else np.zeros(0, t)
         h, self.owner, self.place, self.mark = (cat(x, t) for x, t in ((hashes, np.uint64), (owners, np.int32), (places, np.int64), (marks, np.int32)))
         order = np.argsort(h, kind="stable")
@@ -100,20 +133,21 @@ class SeedIndex:
         self.map = np.zeros(1 << self.bits, bool)
         self.map[self.hash >> self.shift] = True
 
-    def hits(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place in ids, item, place in the item) of every pair of equal seeds."""
-        found = []
+    def hits(self, ids: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(place in ids, item, place in the item) of every pair of equal seeds, about most of them at a time."""
         for m, mask in enumerate(self.masks):
             h = seed_hashes(ids, mask)
-            at = np.flatnonzero(self.map[h >> self.shift])
-            first = np.searchsorted(self.hash, h[at], "left")
-            count = np.searchsorted(self.hash, h[at], "right") - first
-            at, first, count = at[count > 0], first[count > 0], count[count > 0]
-            entry = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            at = np.repeat(at, count)
-            same = self.mark[entry] == m
-            found.append((at[same], self.owner[entry[same]], self.place[entry[same]]))
-        return tuple(np.concatenate(x) for x in zip(*found))
+            places = np.flatnonzero(self.map[h >> self.shift])
+            begin = np.searchsorted(self.hash, h[places], "left")
+            counts = np.searchsorted(self.hash, h[places], "right") - begin
+            places, begin, counts = places[counts > 0], begin[counts > 0], counts[counts > 0]
+            part = np.cumsum(counts) // most
+            for first_of, end_of in zip(*(np.searchsorted(part, np.unique(part), side) for side in ("left", "right"))):
+                at, first, count = places[first_of:end_of], begin[first_of:end_of], counts[first_of:end_of]
+                entry = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                at = np.repeat(at, count)
+                same = self.mark[entry] == m
+                yield at[same], self.owner[entry[same]], self.place[entry[same]]
 
 
 def longest_stretch(equal: np.ndarray, identity: float) -> tuple[int, int]:
@@ -147,7 +181,8 @@ class Searcher:
 
     def __init__(self, index: SeedIndex):
         self.index, self.rules = index, index.rules
-        self.gap = [0] * max((len(m) for m in index.masks), default=1)  # so that no mask reaches over a text's end
+        # so that neither a mask nor a short item reaches over a text's ends into another text
+        self.gap = [0] * max(index.width, *(len(m) for m in index.masks), 1)
 
     def _verified(self, ids: np.ndarray, at: np.ndarray, item: np.ndarray, place: np.ndarray):
         for k, d in np.unique(np.stack([item.astype(np.int64), at - place]), axis=1).T.tolist():
@@ -155,32 +190,56 @@ class Searcher:
             a, b = max(0, d), min(len(ids), d + len(other))
             equal = ids[a:b] == other[a - d : b - d]
             i, j = longest_stretch(equal, self.rules.min_identity)
-            if j - i >= min(self.rules.min_overlap, len(other)):
+            if j - i >= self.rules.min_overlap:
                 yield self.index.item_ids[k], (a + i, a + i - d, j - i, int(equal[i:j].sum()))
 
+    def _laid(self, ids, starts, sizes, at: np.ndarray, item: np.ndarray, place: np.ndarray, most: int = 1 << 16):
+        """(number of the text, item, overlap) where enough of a short item's tokens agree, each in its place."""
+        width, index = np.arange(self.index.width), self.index
+        for lo in range(0, len(at), most):
+            k, begin = item[lo : lo + most].astype(np.int64), (at - place)[lo : lo + most]
+            equal = (ids[np.minimum(begin[:, None] + width, len(ids) - 1)] == index.whole[index.row[k]]).sum(axis=1)
+            good = np.flatnonzero(equal >= index.need[k])
+            text = np.searchsorted(starts, at[lo : lo + most][good], "right") - 1
+            for t, g in zip(text.tolist(), good.tolist()):
+                d = int(begin[g] - starts[t])
+                a, b = max(0, d), min(int(sizes[t]), d + len(index.items[k[g]]))
+                yield t, index.item_ids[k[g]], (a, a - d, b - a, int(equal[g]))
+
     def overlaps(self, texts: list[bytes]) -> Iterator[tuple[int, int, tuple[int, int, int, int]]]:
         """(number of the text, item, (doc_start, item_start, overlap, matched)): the best of each text and item."""
         get = self.index.vocabulary.get
-        row: list[int] = []
+        row: list[int] = list(self.gap)
         begins, lengths = [], []
         for raw in texts:
             begins.append(len(row))
             row += [get(w, 0) for w in tokens(raw)]
             lengths.append(len(row) - begins[-1])
             row += self.gap
-        ids = np.array(row, np.uint64)
-        at, item, place = self.index.hits(ids)
-        text = np.searchsorted(np.array(begins), at, "right") - 1
-        for t in np.unique(text).tolist():
-            mine = text == t
-            own = ids[begins[t] : begins[t] + lengths[t]]
-            best: dict[int, tuple] = {}
-            for k, found in self._verified(own, at[mine] - begins[t], item[mine], place[mine]):
-                rank = (found[2], found[3], -found[0])
-                if k not in best or rank > (best[k][2], best[k][3], -best[k][0]):
-                    best[k] = found
-            for k in sorted(best):
-                yield t, k, best[k]
+        ids, starts, sizes = np.array(row, np.uint64), np.array(begins), np.array(lengths)
+        best: dict[tuple[int, int], tuple] = {}
+
+        def note(t: int, k: int, found: tuple) -> None:
+            old = best.get((t, k))
+            if old is None or (found[2], found[3], -found[0]) > (old[2], old[3], -old[0]):
+                best[t, k] = found
+
+        long: list[tuple] = []
+        for at, item, place in self.index.hits(ids):
+            whole = self.index.need[item] > 0
+            for t, k, found in self._laid(ids, starts, sizes, at[whole], item[whole], place[whole]):
+                note(t, k, found)
+            long.append((at[~whole], item[~whole], place[~whole]))
+        if long:
+            at, item, place = (np.concatenate(x) for x in zip(*long))
+            text = np.searchsorted(starts, at, "right") - 1
+            for t in np.unique(text).tolist():
+                mine = text == t
+                own = ids[begins[t] : begins[t] + lengths[t]]
+                for k, found in self._verified(own, at[mine] - begins[t], item[mine], place[mine]):
+                    note(t, k, found)
+        for t, k in sorted(best):
+            yield t, k, best[t, k]
 
 
 def _found(sent):

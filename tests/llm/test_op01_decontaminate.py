@@ -58,6 +58,48 @@ def test_short_items_match_whole(spark, documents):
     assert [(r.doc_id, r.overlap) for r in found] == [(1, 3)]
 
 
+def brute_whole(docs, items, share=0.8):
+    """Short items laid on the text at every place, counted by the tokens that agree; texts end anywhere."""
+    out = set()
+    for d, text in docs:
+        words = dc.tokens(text.encode())
+        for i, item in items:
+            other = dc.tokens(item.encode())
+            for at in range(-len(other), len(words)):
+                same = sum(0 <= at + k < len(words) and words[at + k] == w for k, w in enumerate(other))
+                if same and 1000 * same >= 1000 * share * len(other):
+                    out.add((d, i))
+    return out
+
+
+def test_short_items_by_their_identity(spark, documents):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(400)]
+    items = [(n, " ".join(rng.choice(vocabulary, n, replace=False))) for n in range(1, 21)]
+    docs, leaks = {}, set()
+    for n, item in items:
+        words = item.split()
+        for case in range(14):
+            own, changed = list(words), n // 5 + case % 2  # one change more than allowed in every other
+            if case < 2:  # ends substituted
+                for k in [*range(0, n, max(1, n - 1)), *range(1, n)][:changed]:
+                    own[k] = "zzz"
+            elif case < 4:  # first words missing, at the text's very start
+                own = own[changed:]
+            elif case < 6:  # last words missing, at the text's very end
+                own = own[: n - changed]
+            else:
+                for k in rng.choice(n, min(n, changed), replace=False):
+                    own[k] = "zzz"
+            before, after = ([] if case in (2, 3) else ["qqq"] * 3), ([] if case in (4, 5) else ["qqq"] * 3)
+            docs[100 * n + case] = " ".join([*before, *own, *after])
+            leaks |= set() if case % 2 else {(100 * n + case, n)}
+    found = dc.find_leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string"))
+    told = {(r.doc_id, r.item_id) for r in found.collect()}
+    assert told == brute_whole(docs.items(), items) and leaks <= told
+    assert {r.doc_id for r in dc.remove_leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()} == set(docs) - {d for d, _ in told}
+
+
 @pytest.mark.parametrize("max_seeds", [300, 2_000_000])
 def test_blocks_find_the_same(spark, documents, max_seeds):
     rng = np.random.default_rng(5)
