@@ -46,10 +46,10 @@ class CompressionRules:
 
     level: int = 3
     bands: tuple[Band, ...] = (
-        Band(256, 0.90, 1.95),
-        Band(512, 1.15, 2.05),
-        Band(1024, 1.30, 2.20),
-        Band(2048, 1.45, 2.30),
+        Band(256, 1.30, 1.95),
+        Band(512, 1.40, 2.05),
+        Band(1024, 1.55, 2.20),
+        Band(2048, 1.65, 2.30),
         Band(4096, 1.55, 2.40),
         Band(8192, 1.60, 2.52),
         Band(16384, 1.65, 2.62),

@@ -46,6 +46,21 @@ def test_bands_and_chunks(spark, documents):
     assert compression_bands(documents({3: texts[3]}), strict).first().reason == "incompressible"
 
 
+def test_short_random_text_goes(spark, documents):
+    import random
+
+    rng = random.Random(8)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = {}
+    for n in (300, 400, 511, 512, 700, 1000, 1100, 1500, 2000, 2100, 3000):
+        for most in (5, 8):
+            words = " ".join("".join(rng.choice(signs) for _ in range(rng.randint(3, most))) for _ in range(n))
+            texts[10 * n + most] = words[:n]
+    found = compression_bands(documents(texts)).collect()
+    assert {r.reason for r in found} == {"incompressible"} and not any(r.kept for r in found)
+    assert all(not r.base_failed for r in found if r.doc_id % 10 == 5)  # so that only the ratio speaks against them
+
+
 def test_clean_documents_stay(spark, small):
     folder = small.replace("sf0.001", "sf0.1")
     docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
