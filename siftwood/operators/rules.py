@@ -2,8 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from siftwood.functions.signatures import SignatureIndex
+from siftwood.runtime import scratch_folder, ship
 
 # Technique id, name and reason, in the order of the rules.
 TECHNIQUES = {
@@ -99,11 +108,50 @@ def first_match(value: Column, table: tuple[tuple[str, str], ...]) -> Column:
     return F.coalesce(*[F.when(value.rlike(p), F.lit(label)) for p, label in table])
 
 
-def contained(texts: DataFrame, text: Column, signatures: DataFrame, signature: str, *keys: str) -> DataFrame:
-    """Signatures that a text contains, the first by ord for each key.  Signatures are a bounded list of words."""
-    words = [(r["ord"], r[signature]) for r in signatures.select("ord", signature).orderBy("ord").limit(10_000).collect()]
-    hits = F.array_compact(F.array(*[F.when(F.contains(text, F.lit(w)), F.struct(F.lit(o).alias("ord"), F.lit(w).alias(signature))) for o, w in words]))
-    return texts.select(*keys, F.get(hits, F.lit(0)).alias("hit")).where("hit is not null").select(*keys, "hit.*")
+def contained(texts: DataFrame, text: Column, signatures: DataFrame, signature: str, *keys: str, most: int = 1_000_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """Signatures that a text contains, the first by ord for each row of texts.
+
+    Signatures go in blocks of about most rows and most_bytes bytes; a task holds one block at a time.  Beyond one block
+    the texts are stored once with row numbers, and the first of the blocks' finds is told.
+    """
+    spark = texts.sparkSession
+    ship(spark)
+    listed = signatures.select("ord", signature).where(F.col(signature).isNotNull())
+    n, size = listed.agg(F.count("*"), F.sum(F.octet_length(signature))).first()
+    blocks = max(1, -(-n // most), -(-(size or 0) // most_bytes))
+    fields = [texts.schema[k] for k in keys]
+    rows = texts.select(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)], text.cast("binary").alias("raw"))
+    kinds = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)]
+    if blocks > 1:
+        path = f"{scratch_folder(spark, 'signatures')}/texts"
+        rows.withColumn("row", F.monotonically_increasing_id()).write.parquet(path)
+        rows = spark.read.parquet(path)
+        kinds.append(T.StructField("row", T.LongType()))
+    out = T.StructType([*kinds, T.StructField("ord", listed.schema["ord"].dataType), T.StructField("signature", T.StringType())])
+    parts = []
+    for k in range(blocks):
+        found = listed.where(F.pmod(F.xxhash64(signature), F.lit(blocks)) == k).collect()
+        block = sorted(((r["ord"], r[signature]) for r in found), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        sent = spark.sparkContext.broadcast((SignatureIndex([w.encode() for _, w in block]), [o for o, _ in block]))
+        parts.append(rows.mapInArrow(_containing(sent, to_arrow_schema(out)), out))
+    hits = reduce(DataFrame.unionByName, parts)
+    if blocks > 1:
+        hits = hits.groupBy("row", *[f"c{i}" for i in range(len(keys))]).agg(F.min(F.struct("ord", "signature")).alias("hit")).select("*", "hit.*")
+    return hits.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keys)], "ord", F.col("signature").alias(signature))
+
+
+def _containing(sent, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, ords = sent.value
+        kept = schema.names[:-2]
+        for batch in batches:
+            found = [(i, k) for i, raw in enumerate(batch.column("raw")) if raw.is_valid and (k := index.first(raw.as_py())) is not None]
+            if found:
+                at = pa.array([i for i, _ in found], pa.int64())
+                told = [pa.array([ords[k] for _, k in found], schema.field("ord").type), pa.array([index.signatures[k].decode() for _, k in found])]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in kept), *told], names=schema.names)
+
+    return run
 
 
 # --- key-value tables: namespace, key, value, updated_at ----------------------------------------------------------

@@ -134,3 +134,15 @@ def test_flags(spark):
     spark.conf.set("triage.max_analysis_depth", "3")
     assert Flags.from_session(spark).max_analysis_depth == 3
     spark.conf.unset("triage.max_analysis_depth")
+
+
+@pytest.mark.parametrize("blocks", [{}, {"most": 4000}])
+def test_contained_keeps_every_signature(spark, blocks):
+    words = {n: f"signature number {n:05d} of a long list of them" for n in range(10_500)} | {10_500: "tiny", 10_501: "ünï", 10_502: "of eight", 10_503: None}
+    texts = {1: f"x {words[10_499]} y", 2: f"{words[300]} {words[7]}", 3: "signature number", 4: None, 5: "a tiny one", 6: "two ünï", 7: "of eight of nine", 8: "tin", 9: ""}
+    signatures = spark.createDataFrame(list(words.items()), "ord long, signature string")
+    found = rules.contained(spark.createDataFrame([*texts.items(), (5, texts[5])], "doc_id long, text string"), F.col("text"), signatures, "signature", "doc_id", **blocks)
+    brute = {d: min((n for n, w in words.items() if w and t and w in t), default=None) for d, t in texts.items()}
+    assert found.columns == ["doc_id", "ord", "signature"]
+    told = [(r.doc_id, r.ord) for r in found.collect()]
+    assert sorted(told) == sorted([(d, n) for d, n in brute.items() if n is not None] + [(5, 10_500)])
