@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -43,9 +44,15 @@ _own_folder: str | None = None
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
-    """A new folder's path below spark.checkpoint.dir; only where that is unset, below a temporary one of this process."""
+    """A new folder's path below spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a temporary folder of this process; on a cluster there is no folder that
+    all machines would share, and the job ends here.
+    """
     global _own_folder
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         _own_folder = base = _own_folder or tempfile.mkdtemp(prefix="siftwood-")
     return f"{base.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
