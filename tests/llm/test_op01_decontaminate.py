@@ -1,8 +1,13 @@
+import itertools
+import time
+
 import numpy as np
 import pytest
 
 from siftwood.llm import decontaminate as dc
 
+#: The shortest items too are laid anywhere on a text.
+ANY_LENGTH = dc.SeedRules(min_item=0)
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards quietly brew strange potions under an ancient oak tree"
 
 
@@ -54,10 +59,104 @@ def test_substitutions_case_and_punctuation(spark, documents):
 
 def test_short_items_match_whole(spark, documents):
     benchmark = spark.createDataFrame([(1, "purple monkey dishwasher")], "item_id long, text string")
-    found = dc.find_leaks(documents({1: "a purple monkey dishwasher", 2: "purple monkey"}), benchmark).collect()
+    found = dc.find_leaks(documents({1: "a purple monkey dishwasher", 2: "purple monkey"}), benchmark, ANY_LENGTH).collect()
     assert [(r.doc_id, r.overlap) for r in found] == [(1, 3)]
 
 
+def test_everyday_phrases_match_whole_lines_only(spark, documents):
+    benchmark = spark.createDataFrame([(1, "the"), (2, "what is the answer"), (3, "one two three four five six seven eight")], "item_id long, text string")
+    docs = documents({
+        1: "the cat sat on the mat and asked what is the answer to that",
+        2: "Question:\nWhat is the answer?\nNobody knows.",
+        3: "count one two three four five six seven eight nine",
+        4: "The\nend",
+    })
+    assert {(r.doc_id, r.item_id) for r in dc.find_leaks(docs, benchmark).collect()} == {(2, 2), (3, 3), (4, 1)}
+    assert {r.doc_id for r in dc.remove_leaks(docs, benchmark).collect()} == {1}
+
+
+def test_stretches_of_many_diagonals_at_once():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        equal = rng.random((6, rng.integers(1, 30))) < rng.choice([0.3, 0.5, 0.8, 0.9])
+        a, b = dc.longest_stretches(equal, 0.8)
+        for r in range(6):
+            one = dc.longest_stretch(equal[r], 0.8)
+            assert (a[r], b[r]) == one or a[r] == b[r] and one == (0, 0)
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 40])
+def test_shifted_and_paired_seeds_find_the_same(monkeypatch, dense):
+    rng = np.random.default_rng(3)
+    items = [(k, " ".join(rng.choice(["na", "ba", "da"], rng.integers(21, 60))).encode()) for k in range(4)] + [(9, b"na " * 80)]
+    texts = [" ".join(rng.choice(["na", "ba", "da", "x"], rng.integers(0, 400))).encode() for _ in range(6)] + [b"na " * 300, items[2][1] * 3]
+    wanted = {}
+    for t, raw in enumerate(texts):
+        for k, item in items:
+            words, other = dc.tokens(raw), dc.tokens(item)
+            for d in range(-len(other), len(words)):
+                equal = np.array([0 <= d + i < len(words) and words[d + i] == w for i, w in enumerate(other)])
+                i, j = dc.longest_stretch(equal, 0.8)
+                if j - i >= 20:
+                    found = (j - i, int(equal[i:j].sum()), -(d + i))
+                    wanted[t, k] = max(wanted.get((t, k), found), found)
+    monkeypatch.setattr(dc, "DENSE", dense)
+    told = {(t, k): (v[2], v[3], -v[0]) for t, k, v in dc.Searcher(dc.SeedIndex(items, dc.SeedRules())).overlaps(texts)}
+    # seeds may miss an overlap; what they find is the best one's length or a shorter one's
+    assert set(told) <= set(wanted) and len(told) >= 0.95 * len(wanted)
+    assert sum(told[x] == wanted[x] for x in told) >= 0.95 * len(told)
+    assert told[6, 9] == wanted[6, 9] == (80, 80, 0)
+
+
+def test_one_repeated_word_ends_in_seconds():
+    for item in (b"na " * 2000, b"na " * 1000 + b"xx " * 1000):
+        begun = time.time()
+        index = dc.SeedIndex([(1, item)], dc.SeedRules())
+        [(_, _, found)] = dc.Searcher(index).overlaps([b"na " * 60_000])
+        assert found[2] >= 1000 and time.time() - begun < 30
+
+
+def test_masks_hit_the_allowed_substitutions():
+    """Of all ways to substitute a fifth of 20 to 25 tokens, seeds find 0.99; up to 20 tokens pieces find them all."""
+    for n in range(20, 26):
+        rows = []
+        for mask in dc.MASKS:
+            at = dc.offsets(mask)
+            for k in range(n - int(at[-1])):
+                row = np.zeros(n, np.int32)
+                row[at + k] = 1
+                rows.append(row)
+        ways = np.array(list(itertools.combinations(range(n), n // 5)))
+        bad = np.zeros((len(ways), n), np.int32)
+        bad[np.arange(len(ways))[:, None], ways] = 1
+        assert ((bad @ np.array(rows).T) == 0).any(axis=1).mean() >= 0.99
+    for n in range(1, 21):
+        need = dc.needed(n, dc.SeedRules())
+        cuts = dc.pieces(n, need)
+        assert all(any(not set(range(a, b)) & set(bad) for a, b in cuts) for bad in itertools.combinations(range(n), n - need))
+
+
+def test_the_query_against_brute_force(spark, tmp_path):
+    """The registered query over whole tables, held against all alignments of all pairs."""
+    from siftwood.llm.queries import queries
+
+    rng = np.random.default_rng(8)
+    vocabulary = [f"w{k}" for k in range(500)]
+    items = [(i, " ".join(rng.choice(vocabulary, n, replace=False))) for i, n in enumerate((9, 15, 20, 24, 40))]
+    docs = {}
+    for d in range(60):
+        own = items[d % 5][1].split()
+        for k in rng.choice(len(own), len(own) // 6, replace=False):
+            own[k] = "zzz"
+        docs[d] = " ".join([*rng.choice(vocabulary, 15), *(own if d % 3 else []), *rng.choice(vocabulary, 15)])
+    spark.createDataFrame([(d, x, "en", "s", len(x)) for d, x in docs.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = queries()["op1_spaced_seed_decontamination"](spark, str(tmp_path)).collect()
+    short, long = [x for x in items if len(x[1].split()) <= 20], [x for x in items if len(x[1].split()) > 20]
+    wanted = brute_whole(docs.items(), short) | brute(docs.items(), long, dc.SeedRules())
+    assert {(r.doc_id, r.item_id) for r in found} == wanted and len(wanted) == 40
+
+
 def brute_whole(docs, items, share=0.8):
     """Short items laid on the text at every place, counted by the tokens that agree; texts end anywhere."""
     out = set()
@@ -94,10 +193,10 @@ def test_short_items_by_their_identity(spark, documents):
             before, after = ([] if case in (2, 3) else ["qqq"] * 3), ([] if case in (4, 5) else ["qqq"] * 3)
             docs[100 * n + case] = " ".join([*before, *own, *after])
             leaks |= set() if case % 2 else {(100 * n + case, n)}
-    found = dc.find_leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string"))
+    found = dc.find_leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string"), ANY_LENGTH)
     told = {(r.doc_id, r.item_id) for r in found.collect()}
     assert told == brute_whole(docs.items(), items) and leaks <= told
-    assert {r.doc_id for r in dc.remove_leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string")).collect()} == set(docs) - {d for d, _ in told}
+    assert {r.doc_id for r in dc.remove_leaks(documents(docs), spark.createDataFrame(items, "item_id long, text string"), ANY_LENGTH).collect()} == set(docs) - {d for d, _ in told}
 
 
 @pytest.mark.parametrize("max_seeds", [300, 2_000_000])
