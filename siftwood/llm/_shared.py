@@ -64,23 +64,35 @@ def sized_broadcast(df: DataFrame, rows: int, row_bytes: int, limit_bytes: int =
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, n_ids: int, id_col: str = "doc_id") -> DataFrame:
-    """Documents whose id is not in ids; broadcast if there are few, shuffled by id beyond that."""
+    """Documents whose id is not in ids (its one column); broadcast if there are few, shuffled by id beyond that.
+
+    Documents with a null id stay.  No name of docs is used, so none can clash.
+    """
     if not n_ids:
         return docs
-    key = ids.select(F.col(id_col).alias("__drop_id")).distinct()
-    return docs.join(sized_broadcast(key, n_ids, 16), docs[id_col] == F.col("__drop_id"), "left_anti")
+    names = docs.columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    key = ids.toDF("gone").distinct()
+    left = rows.join(sized_broadcast(key, n_ids, 16), F.col(f"c{names.index(id_col)}") == F.col("gone"), "left_anti")
+    return left.toDF(*names)
+
+
+def tasks_for(spark: SparkSession, rows: int, rows_per_task: int) -> int:
+    """Partitions for a repartition: by the rows that a task may hold, and no fewer than there are cores to use."""
+    return max(1, -(-rows // rows_per_task), min(spark.sparkContext.defaultParallelism, -(-rows // 4096)))
 
 
 def filter_rows(docs: DataFrame, text_col: str, decide: Callable[[], Callable[[pa.RecordBatch], list[bool]]], needs: tuple[str, ...] = ()) -> DataFrame:
     """The rows of docs that decide keeps, all columns as they are, without a shuffle.
 
     decide() is called once in each task and gives the decision on a batch, whose columns are `raw` (the text's UTF-8
-    bytes, empty for null) and one for each of needs, under that name.  No name of docs is used, so none can clash.
+    bytes, empty for null) and one for each of needs, under that name (null where docs has no such column).  No name of
+    docs is used, so none can clash.
     """
     fields = docs.schema.fields
     rows = docs.select(
         *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)],
-        *[F.col(f"`{n}`").cast("double").alias(f"n{i}") for i, n in enumerate(needs)],
+        *[(F.col(f"`{n}`") if n in docs.columns else F.lit(None)).cast("double").alias(f"n{i}") for i, n in enumerate(needs)],
     )
     at_text = [f.name for f in fields].index(text_col)
 

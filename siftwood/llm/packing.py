@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.llm._shared import Scratch
+from siftwood.llm._shared import Scratch, tasks_for
 from siftwood.llm.tokens import encoder
 from siftwood.runtime import ship
 
@@ -142,6 +142,7 @@ def pack_documents(
     end_id: int = 0,
     group_pieces: int = 2048,
     max_rounds: int = 12,
+    task_pieces: int = 1 << 19,
     id_col: str = "doc_id",
     text_col: str = "text",
     json_path: str | None = None,
@@ -151,6 +152,9 @@ def pack_documents(
 
     A document is its text's ids and then end_id; a null or empty text is end_id alone.  Null ids and repeated rows are
     pieces like any other; other columns are not read.  No documents, no pieces.
+
+    group_pieces: pieces that are packed together.  task_pieces: pieces that a task gets, in many groups (some 60 bytes
+    each); so tasks grow with the pieces' bytes and not with the number of groups.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -184,10 +188,11 @@ def pack_documents(
         packed = scratch.save(
             todo.withColumn("row", row)
             .withColumn("group", F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(groups)).cast("long"))
-            .repartition(groups, "group")
+            .repartition(tasks_for(spark, left, task_pieces), "group")
             .mapInArrow(_packed(capacity, round_), PACKED)
         )
-        made = packed.groupBy("settled").agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins"))
+        # each sequence has one piece at its beginning
+        made = packed.groupBy("settled").agg(F.count("*").alias("n"), F.count_if(F.col("offset") == 0).alias("bins"))
         by = {r["settled"]: r for r in made.collect()}
         settled, open_ = (by[k]["bins"] if k in by else 0 for k in (True, False))
         total = sequences + settled + open_

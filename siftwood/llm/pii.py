@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -117,10 +118,10 @@ def _key(value: str) -> str:
     return hashlib.sha256(value.encode()).hexdigest()[:24]
 
 
-def _patterns(text: str, a: int, b: int) -> list[str]:
+def _patterns(text: str, a: int, b: int, window: tuple[int, int]) -> list[str]:
     """Lexical patterns of a span: the word before, the two words before, the words on both sides."""
-    left = BLANK.split(text[max(0, a - 48) : a].rpartition("\n")[2].lower())
-    right = BLANK.split(text[b : b + 24].partition("\n")[0].lower())
+    left = BLANK.split(text[max(0, a - window[0]) : a].rpartition("\n")[2].lower())
+    right = BLANK.split(text[b : b + window[1]].partition("\n")[0].lower())
     before = [w for w in left if w and not any(c.isdigit() for c in w)][-2:]
     if not before:
         return []
@@ -133,31 +134,52 @@ def _patterns(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int, str]]:
-    """(kind with a ? in front, or other; start; end; value) of what the base patterns leave."""
-    taken = sorted((a, b) for _, a, b in base)
+class Taken:
+    """Spans that are taken, as disjoint stretches in order, so that a look-up is a binary search."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def take(self, a: int, b: int) -> bool:
+        """Takes a span that meets none that is taken; False, and nothing, for others."""
+        if not self.free(a, b):
+            return False
+        k = bisect_right(self.ends, a)
+        self.starts.insert(k, a)
+        self.ends.insert(k, b)
+        return True
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_right(self.ends, a)
+        return k == len(self.ends) or self.starts[k] >= b
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken) if taken else True
 
+def _candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[str, int, int, str]]:
+    """(kind with a ? in front, or other; start; end; value) of what the base patterns leave."""
+    taken = Taken([(a, b) for _, a, b in base])
     out = []
     for m in AT.finditer(text):
         start = m.start()
-        while start > max(0, m.start() - 64) and text[start - 1] in LOCAL_CHARS:
+        while start and text[start - 1] in LOCAL_CHARS:  # ends at the last mark at the latest, so this stays linear
             start -= 1
-        domain = LOOSE_DOMAIN.match(text, m.end(), m.end() + 255) if start < m.start() else None
-        if domain and free(start, domain.end()):
+        domain = LOOSE_DOMAIN.match(text, m.end()) if start < m.start() else None
+        if domain and taken.take(start, domain.end()):
             value = re.sub(r"[\x20()\[\]{}]", "", text[start : m.start()] + "@" + re.sub("dot", ".", domain[0], flags=re.I))
             out.append(("?email", start, domain.end(), value.lower()))
-            taken.append((start, domain.end()))
     for m in LOOSE_IP.finditer(text):
         parts = re.findall("[0-9]+", m[0])
-        if all(int(p) <= 255 for p in parts) and free(*m.span()):
+        if all(int(p) <= 255 for p in parts) and taken.take(*m.span()):
             out.append(("?ip", *m.span(), ".".join(parts)))
-            taken.append(m.span())
     for m in NUMBER.finditer(text):
         digits = _digits(m[0])
-        if len(digits) < 4 or not free(*m.span()):
+        if len(digits) < 4 or not taken.free(*m.span()):
             continue
         kinds = []
         if 13 <= len(digits) <= 19 and luhn(digits):
@@ -177,27 +199,31 @@ _MENTIONS = pa.list_(
 )
 
 
-def _noted(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            spans, digests, mentions = [], [], []
-            for text in part.column("text").to_pylist():
-                base = base_spans(text) if text and ANY_SIGN.search(text) else []
-                spans.append([{"kind": k, "a": a, "b": b} for k, a, b in base])
-                digests.append(hashlib.sha256(told(base).encode()).hexdigest())
-                own = []
-                if text and ANY_SIGN.search(text):
-                    marked = [(KINDS[k], a, b, text[a:b].lower() if k < 2 else _digits(text[a:b])) for k, a, b in base]
-                    for kind, a, b, value in marked + _candidates(text, base):
-                        patterns = _patterns(text, a, b)
-                        if patterns or kind != OTHER:
-                            own.append({"kind": kind, "a": a, "b": b, "instance": _key(value), "patterns": patterns})
-                mentions.append(own)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("text_hash"), pa.array(spans, _SPANS), pa.array(digests), pa.array(mentions, _MENTIONS)],
-                names=["doc_id", "text_hash", "base", "base_sha256", "mentions"],
-            )
+def _noted(window: tuple[int, int], size: int = 512):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                spans, digests, mentions = [], [], []
+                for text in part.column("text").to_pylist():
+                    signs = text and ANY_SIGN.search(text)
+                    base = base_spans(text) if signs else []
+                    spans.append([{"kind": k, "a": a, "b": b} for k, a, b in base])
+                    digests.append(hashlib.sha256(told(base).encode()).hexdigest())
+                    own = []
+                    if signs:
+                        marked = [(KINDS[k], a, b, text[a:b].lower() if k < 2 else _digits(text[a:b])) for k, a, b in base]
+                        for kind, a, b, value in marked + _candidates(text, base):
+                            patterns = _patterns(text, a, b, window)
+                            if patterns or kind != OTHER:
+                                own.append({"kind": kind, "a": a, "b": b, "instance": _key(value), "patterns": patterns})
+                    mentions.append(own)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(spans, _SPANS), pa.array(digests), pa.array(mentions, _MENTIONS)],
+                    names=["doc_id", "text_hash", "base", "base_sha256", "mentions"],
+                )
+
+    return run
 
 
 @dataclass(frozen=True)
@@ -205,6 +231,8 @@ class BootstrapRules:
     """rounds: of scoring.  seeds: distinct instances of a kind that a pattern needs.  confident: its least confidence.
 
     doubt: what an open candidate of another kind weighs against a pattern.  accept: a candidate's least reliability.
+    window: characters before and after a span in which a pattern's words are looked for, on the span's line; a longer
+    word counts by the part that lies in the window.  Spans themselves have no greatest length.
     """
 
     rounds: int = 3
@@ -212,6 +240,7 @@ class BootstrapRules:
     confident: float = 0.8
     doubt: float = 0.5
     accept: float = 0.85
+    window: tuple[int, int] = (48, 24)
 
 
 def bootstrap(noted: DataFrame, rules: BootstrapRules, scratch: Scratch) -> DataFrame:
@@ -277,13 +306,13 @@ def find_spans(
 
     base and added hold (kind, a, b): the number of the kind in KINDS, and code points from a to before b.  A null text
     counts as empty.  Null ids and repeated rows give a row each (rows with equal id and text have equal spans); other
-    columns are not read.
+    columns are not read.  An empty table gives an empty result.
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
     noted = scratch.save(
         _rows(docs, id_col, text_col).mapInArrow(
-            _noted, f"doc_id long, text_hash long, base array<{SPAN}>, base_sha256 string, mentions {MENTION}"
+            _noted(rules.window), f"doc_id long, text_hash long, base array<{SPAN}>, base_sha256 string, mentions {MENTION}"
         )
     )
     accepted = scratch.save(bootstrap(noted, rules, scratch))
@@ -323,17 +352,22 @@ def spans_text(spans: "F.Column") -> "F.Column":
     )
 
 
-def _masked(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        at_text, at_spans = batch.schema.names.index("text"), batch.schema.names.index("added")
-        keep = [i for i in range(batch.num_columns) if i not in (at_text, at_spans)]
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            texts = []
-            for text, added in zip(part.column(at_text).to_pylist(), part.column(at_spans).to_pylist()):
-                spans = base_spans(text) if text and ANY_SIGN.search(text) else []
-                texts.append(mask(text, spans + [(s["kind"], s["a"], s["b"]) for s in added or []]))
-            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), pa.array(texts, pa.string())], names=[*(batch.schema.names[i] for i in keep), "text"])
+def _masked(at_text: int):
+    """at_text: the text's place among the columns; the last column is what the bootstrap added."""
+
+    def run(batches: Iterator[pa.RecordBatch], size: int = 512) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                texts = []
+                for text, added in zip(part.column(at_text).to_pylist(), part.column(part.num_columns - 1).to_pylist()):
+                    spans = base_spans(text) if text and ANY_SIGN.search(text) else []
+                    texts.append(mask(text, spans + [(s["kind"], s["a"], s["b"]) for s in added or []]))
+                columns = list(part.columns[:-1])
+                columns[at_text] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
+
+    return run
 
 
 def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -349,17 +383,17 @@ def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def mask_documents(docs: DataFrame, rules: BootstrapRules = BootstrapRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every span masked in its text; a null text stays null.  Rows and other columns stay as they are."""
+    """docs with every span masked in its text; a null text stays null.  Rows and other columns, whatever their names,
+    stay as they are; an empty table stays empty."""
     found = find_spans(docs, rules, id_col, text_col).where(F.size("added") > 0).select("doc_id", "text_hash", "added")
     scratch = Scratch(docs.sparkSession)
     extra = scratch.save(found.dropDuplicates(["doc_id", "text_hash"]))
-    right = extra.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("added").alias("__added"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    joined = docs.join(sized_broadcast(right, extra.count(), 256), same, "left")
-    names = {f"c{i}": f for i, f in enumerate(docs.schema.fields) if f.name != text_col}
-    rows = joined.select(*[F.col(f.name).alias(c) for c, f in names.items()], F.col(text_col).cast("string").alias("text"), F.col("__added").alias("added"))
-    kinds = ", ".join([*(f"{c} {f.dataType.simpleString()}" for c, f in names.items()), "text string"])
-    masked = rows.mapInArrow(_masked, kinds)
-    back = {f.name: c for c, f in names.items()} | {text_col: "text"}
-    return masked.select(*[F.col(back[f.name]).alias(f.name) for f in docs.schema.fields])
+    right = extra.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), F.col("added").alias("found_added"))
+    names = [f.name for f in docs.schema.fields]
+    at_id, at_text = names.index(id_col), names.index(text_col)
+    # under numbers, so that no name of docs can clash with one of these columns
+    rows = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn(f"c{at_text}", F.col(f"c{at_text}").cast("string"))
+    text = F.coalesce(F.col(f"c{at_text}"), F.lit(""))
+    same = F.col(f"c{at_id}").cast("long").eqNullSafe(F.col("found_id")) & (F.xxhash64(text) == F.col("found_hash"))
+    joined = rows.join(sized_broadcast(right, extra.count(), 256), same, "left").drop("found_id", "found_hash")
+    return joined.mapInArrow(_masked(at_text), rows.schema).toDF(*names)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwood.llm._shared import LOWER, Scratch, binary_text, drop_ids, sized_broadcast
+from siftwood.llm._shared import LOWER, Scratch, binary_text, drop_ids, sized_broadcast, tasks_for
 from siftwood.runtime import ship
 
 SEED = 42
@@ -271,7 +271,7 @@ def star_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, max_bucket: int = 50_000
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3, max_bucket: int = 50_000, task_rows: int = 400_000
 ) -> DataFrame:
     """(doc_id, fp, component_id): one row for each row of docs.
 
@@ -279,6 +279,8 @@ def simhash_components(
     A null text counts as empty; all texts without words have fingerprint 0 and link like any other.  A row with a null
     id gets its fingerprint and, if another row holds the same text or one at the radius, that component, else null;
     it makes no link itself.  Repeated rows give a row each; an empty table gives an empty result.
+
+    task_rows: bucket rows that a task gets on average; it holds them (24 bytes each, and as much again for the tree).
     """
     if radius > 3:
         raise ValueError("four blocks find all pairs up to 3 differing bits only")
@@ -293,8 +295,9 @@ def simhash_components(
     reps = scratch.save(
         prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     )
-    dealt = _dealt(reps, scratch, max_bucket)
-    edges = dealt.repartition("mask", F.col("fp").bitwiseAND(F.col("mask"))).mapInArrow(_stars(radius), "a long, b long")
+    dealt = scratch.save(_dealt(reps, scratch, max_bucket))
+    tasks = tasks_for(spark, dealt.count(), task_rows)
+    edges = dealt.repartition(tasks, "mask", F.col("fp").bitwiseAND(F.col("mask"))).mapInArrow(_stars(radius), "a long, b long")
     stars = star_components(edges, scratch)
     roots = stars.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     known = scratch.save(
@@ -314,11 +317,15 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     scratch = Scratch(docs.sparkSession)
     found = scratch.save(simhash_components(docs, id_col, text_col, radius).where("doc_id is not null").select("doc_id", "component_id"))
-    losers = scratch.save(found.where("component_id <> doc_id").select(F.col("doc_id").alias(id_col)).distinct())
-    repeated = scratch.save(found.groupBy(F.col("doc_id").alias(id_col)).count().where("count > 1").select(id_col))
+    losers = scratch.save(found.where("component_id <> doc_id").select("doc_id").distinct())
+    repeated = scratch.save(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     kept = drop_ids(docs, losers, losers.count(), id_col)
     n = repeated.count()
     if not n:
         return kept
-    once = kept.join(sized_broadcast(repeated, n, 16), id_col, "left_semi").dropDuplicates([id_col])
-    return drop_ids(kept, repeated, n, id_col).unionByName(once.select(kept.columns))
+    names = docs.columns
+    key = f"c{names.index(id_col)}"
+    rows = kept.toDF(*[f"c{i}" for i in range(len(names))])
+    again = sized_broadcast(repeated.toDF("again"), n, 16)
+    once = rows.join(again, F.col(key) == F.col("again"), "left_semi").dropDuplicates([key])
+    return drop_ids(kept, repeated, n, id_col).unionAll(once.toDF(*names))

@@ -14,7 +14,7 @@ def documents(spark):
         if extra:  # names that an operator might use itself
             from pyspark.sql import functions as F
 
-            for name in ("raw", "fp", "score", "row", "group", "id", "words", "c0", "component_id", "text_hash", "added"):
+            for name in ("raw", "fp", "score", "row", "group", "id", "words", "c0", "component_id", "text_hash", "added", "a.b", "__id", "__added", "__drop_id", "found_id", "gone", "again"):
                 df = df.withColumn(name, F.lit("clash"))
         return df
 

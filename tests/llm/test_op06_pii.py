@@ -81,3 +81,111 @@ def test_query_against_the_patterns(spark, small):
         told = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for k, a, b in spans)
         assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
         assert set(told.split(",")) <= set(r.spans.split(","))
+
+
+def test_a_number_is_found_by_a_pattern_that_found_ones_induced(spark, documents):
+    docs = {i: f"call me at +1 (811) 555-{3000 + i} now" for i in range(8)}
+    docs |= {20 + i: f"call me at 811-555-{4000 + i} now" for i in range(4)}  # found beside the seeds' pattern
+    docs |= {40 + i: f"hotline desk: 811-555-{4000 + i} open" for i in range(4)}  # they induce this one
+    docs |= {60: "hotline desk: 811-555-9999 open"}  # which finds a number that stands nowhere else
+    found = {r.doc_id: [(s.kind, docs[r.doc_id][s.a : s.b]) for s in r.added] for r in pii.find_spans(documents(docs)).collect() if r.added}
+    assert found == {k: [(3, docs[k].split(" ")[3 if k < 40 else 2])] for k in docs if k >= 20}
+
+
+def test_long_logs_end():
+    """Twice the spans in a text take about twice the time."""
+    import time
+
+    def seconds(n):
+        text = "".join(f"{i} from 10.{i % 200}.3.4 user{i}@example.com call 811-555-{i:05d} or x (at) y{i} dot com\n" for i in range(n))
+        begun = time.time()
+        spans = pii.base_spans(text)
+        assert len(spans) == 2 * n
+        assert len([c for c in pii._candidates(text, spans) if c[0] == "?phone"]) >= n
+        return time.time() - begun
+
+    seconds(1000)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.02)
+
+
+def test_spans_of_any_length(spark, documents):
+    local = "a" * 300
+    docs = {i: f"write to: user{i}@example.com please" for i in range(5)} | {9: f"write to: {local}(at)example(dot)com please"}
+    found = {r.doc_id: r.added for r in pii.find_spans(documents(docs)).collect() if r.added}
+    assert [docs[9][s.a : s.b] for s in found[9]] == [f"{local}(at)example(dot)com"]
+
+
+def test_taken_against_brute_force():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        spans = [(a, a + rng.randint(1, 5)) for a in (rng.randint(0, 40) for _ in range(rng.randint(0, 6)))]
+        taken = pii.Taken(spans)
+        for _ in range(10):
+            a = rng.randint(0, 45)
+            b = a + rng.randint(1, 6)
+            free = all(b <= x or a >= y for x, y in spans)
+            assert taken.free(a, b) == free
+            if rng.random() < 0.5:
+                assert taken.take(a, b) == free
+                spans += [(a, b)] if free else []
+
+
+def test_graph_scores_against_plain_python(spark, documents):
+    """bootstrap over tables, and the same rounds over dicts."""
+    import random
+    from collections import defaultdict
+
+    from siftwood.llm._shared import Scratch
+
+    rng = random.Random(7)
+    contexts = ["call me at {}", "phone: {} office", "order {} shipped", "my line is {}", "mail {} today", "ref {} end", "host {} up"]
+    texts = {}
+    for i in range(160):
+        k = rng.randrange(40)
+        value = rng.choice([f"+1 811 555 {3000 + k}", f"811-555-{3000 + k}", f"{1000 + k}", f"u{k}@example.com", f"u{k} (at) example dot com", f"10.0.0.{k}", f"10[.]0[.]0[.]{k}"])
+        texts[i] = rng.choice(contexts).format(value)
+    rules = pii.BootstrapRules()
+    scratch = Scratch(spark)
+    noted = scratch.save(pii._rows(documents(texts), "doc_id", "text").mapInArrow(pii._noted(rules.window), f"doc_id long, text_hash long, base array<{pii.SPAN}>, base_sha256 string, mentions {pii.MENTION}"))
+    found = {(r.instance, r.kind): r.reliability for r in pii.bootstrap(noted, rules, scratch).collect()}
+
+    edges, named = defaultdict(set), defaultdict(set)
+    for text in texts.values():
+        base = pii.base_spans(text)
+        marked = [(pii.KINDS[k], a, b, text[a:b].lower() if k < 2 else pii._digits(text[a:b])) for k, a, b in base]
+        for kind, a, b, value in marked + pii._candidates(text, base):
+            if kind != pii.OTHER:
+                named[pii._key(value), kind.lstrip("?")].add(kind[0] == "?")
+            for p in pii._patterns(text, a, b, rules.window):
+                edges[p, pii._key(value)].add(kind)
+    equal = {k: 1.0 for k, opens in named.items() if opens == {True, False}}
+    reliable = dict(equal)
+    for _ in range(rules.rounds):
+        confidence = {}
+        for pattern in {p for p, _ in edges}:
+            for kind in pii.KINDS:
+                n = against = 0
+                for (p, instance), kinds in edges.items():
+                    if p != pattern:
+                        continue
+                    own = {k for k in pii.KINDS if k in kinds or (instance, k) in reliable}
+                    if kind in own:
+                        n += 1
+                    elif own or pii.OTHER in kinds:
+                        against += 1
+                    elif f"?{kind}" not in kinds:
+                        against += rules.doubt
+                if n >= rules.seeds and n / (n + against) >= rules.confident:
+                    confidence[pattern, kind] = min(n / (n + against), 0.99)
+        wrong = defaultdict(lambda: 1.0)
+        for (p, instance), kinds in edges.items():
+            for k in pii.KINDS:
+                if f"?{k}" in kinds and (p, k) in confidence:
+                    wrong[instance, k] *= 1 - confidence[p, k]
+        reliable = {k: 1 - w for k, w in wrong.items() if 1 - w >= rules.accept}
+        for k in equal:
+            reliable[k] = max(reliable.get(k, 0), 1.0)
+    assert found.keys() == reliable.keys() and len(found) > 5
+    assert all(abs(found[k] - reliable[k]) < 1e-9 for k in found)

@@ -109,3 +109,17 @@ def test_fast_ids_are_the_library_s():
             assert np.array_equal(code.ids(text), code.exact(text)), repr(text)
     for text in ("漢字 emoji 🙂 ok", "a b", "<|endoftext|>", "don't  stop\n\n now"):
         assert np.array_equal(code.ids(text), code.exact(text))
+
+
+def test_tasks_grow_with_pieces_and_not_with_groups(spark, documents, monkeypatch):
+    """A small limit of pieces for a task gives as many more tasks; what is packed stays as good."""
+    dealt = []
+    repartition = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *c: dealt.append(n) or repartition(self, n, *c))
+    docs = documents({i: "word " * (i % 97 + 1) for i in range(600)})
+    for limit, most in ((1 << 19, spark.sparkContext.defaultParallelism), (100, 6)):
+        dealt.clear()
+        out = packing.pack_documents(docs, capacity=128, group_pieces=20, task_pieces=limit).collect()
+        assert max(dealt) <= most and sum(r.length for r in out) == sum(i % 97 + 2 for i in range(600))
+        assert len({r.sequence_id for r in out}) <= 1.02 * sum(r.length for r in out) / 128 + 1
+    assert dealt[0] == 6  # 600 pieces by 100, whereas the groups are 30

@@ -80,3 +80,14 @@ def test_query_against_brute_force(spark, small):
     label = brute_components(fp)
     assert [found[i].fingerprint for i in ids] == [f"{x:016x}" for x in fp.tolist()]
     assert [found[i].component_id for i in ids] == [ids[k] for k in label]
+
+
+def test_tasks_grow_with_the_dealt_rows(spark, documents, monkeypatch):
+    dealt = []
+    repartition = type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *c: dealt.append(n) or repartition(self, n, *c))
+    docs = documents({i: f"w{i} x{i // 2} y{i // 3} same end of it" for i in range(200)})
+    whole = {(r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(docs).collect()}
+    assert dealt == [1]
+    split = {(r.doc_id, r.fp, r.component_id) for r in simhash.simhash_components(docs, task_rows=50).collect()}
+    assert dealt[1] >= 4 * len({fp for _, fp, _ in whole}) // 50 and split == whole
