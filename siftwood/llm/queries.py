@@ -16,19 +16,33 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two batches: all documents come in, then the exact copies (all but the smallest id of a text) go out; each is
-    committed twice, the second time without effect."""
+    """Three batches: all documents come in; the counts of those with a repeated line are revised to the text without
+    it; exact copies (all but the smallest id of a text) go out.  Each is committed twice, the second time without
+    effect.  Totals are told as they stand after the load (state loaded) and after all three (state final)."""
     scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents").withColumn("text_hash", F.xxhash64("text"))
-    counted = scratch.save(token_counts.count_tokens(docs, ["doc_id", "source", "lang", "text_hash"]))
-    text = ["text_hash", "n_chars", "tokenizer"]
-    first = scratch.save(counted.groupBy(*text).agg(F.min("doc_id").alias("first_id")))
-    copies = counted.join(first, text).where("doc_id > first_id")
+    docs = table(spark, sf_dir, "documents")
+    lines = F.split("text", "\n")
+    keys = ["doc_id", "source", "lang", "text_hash", "changed"]
+    texts = docs.select(
+        "doc_id", "source", "lang", F.sha2(F.col("text").cast("binary"), 256).alias("text_hash"), "text",
+        F.coalesce(F.size(F.array_distinct(lines)) < F.size(lines), F.lit(False)).alias("changed"),
+    )
+    counted = scratch.save(token_counts.count_tokens(texts, keys))
+    shorter = texts.where("changed").withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
+    revised = scratch.save(token_counts.count_tokens(shorter, keys))
+    changes = token_counts.signed(counted.where("changed"), -1).unionByName(token_counts.signed(revised, 1))
+    copy = ["text_hash", "tokenizer"]
+    first = scratch.save(counted.groupBy(*copy).agg(F.min("doc_id").alias("first_id")))
+    current = counted.where("not changed").unionByName(revised)
+    copies = current.join(first, copy).where("doc_id > first_id")
     rollup = token_counts.TokenRollup(spark, f"{scratch.root}/rollup")
     for _ in range(2):
         rollup.commit("load", token_counts.signed(counted, 1))
+    loaded = rollup.totals()
+    for _ in range(2):
+        rollup.commit("drop repeated lines", changes)
         rollup.commit("drop exact copies", token_counts.signed(copies, -1))
-    return rollup.totals()
+    return loaded.withColumn("state", F.lit("loaded")).unionByName(rollup.totals().withColumn("state", F.lit("final")))
 
 
 def op3_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:

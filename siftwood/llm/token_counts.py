@@ -4,13 +4,15 @@ A batch of changes is a table of signed rows: an insert counts +1 times a docume
 revision is both, with the old and the new size.  A commit sums a batch to one row for each (source, language,
 tokenizer version) and stores that beside the others, under the batch's id.  Totals are sums over the stored batches,
 so commits add up in any order.  A batch id that has been stored is not stored again, so a driver may repeat a commit
-after a failure: the sums are written to a staging folder and renamed to the id in one step.  `compact` folds stored
+after a failure: each commit writes its sums to a staging folder of its own and renames it to the batch's name in one
+step that fails where that name exists, so of two drivers with one batch id one alone commits.  `compact` folds stored
 batches into one, which keeps the list of their ids.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -61,7 +63,8 @@ def _counted(paths: list[str]):
 
 
 def count_tokens(docs: DataFrame, columns: list[str], versions: dict[str, str] | None = None, text_col: str = "text") -> DataFrame:
-    """columns of each row, with tokenizer, n_tokens and n_chars: one row for each version.  A null text has none.
+    """columns of each row, with tokenizer, n_tokens and n_chars: one row for each version.  A null text has none.  An
+    empty table gives an empty result.
 
     versions: a path of a vocabulary of ranks by name; the public vocabularies where it is not given.
     """
@@ -123,12 +126,28 @@ class TokenRollup:
         if self.committed(batch_id):
             return False
         key = self._key(batch_id)
-        staged = f"staged/{key}"
+        staged = f"staged/{key}-{uuid.uuid4().hex}"
         sums = changes.groupBy(*KEYS).agg(*[F.sum(c).cast("long").alias(c) for c in SUMS])
-        sums.where(" or ".join(f"{c} <> 0" for c in SUMS)).write.mode("overwrite").parquet(f"{self.path}/{staged}")
-        self._fs.mkdirs(self._at("batches"))
-        if not self._fs.rename(self._at(staged), self._at(f"batches/{key}")):
-            raise RuntimeError(f"batch {batch_id!r} could not be renamed into place")
+        sums.where(" or ".join(f"{c} <> 0" for c in SUMS)).write.parquet(f"{self.path}/{staged}")
+        if self._placed(staged, f"batches/{key}"):
+            return True
+        self._fs.delete(self._at(staged), True)  # another driver was faster with the same batch
+        return False
+
+    def _placed(self, staged: str, name: str) -> bool:
+        """Renames a folder into place; False where the place is taken."""
+        from py4j.protocol import Py4JJavaError
+
+        fs = self._jvm.org.apache.hadoop.fs
+        self._fs.mkdirs(self._at(name).getParent())
+        files = fs.FileContext.getFileContext(self._at("").toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        options = self.spark.sparkContext._gateway.new_array(getattr(fs, "Options$Rename"), 0)
+        try:
+            files.rename(self._at(staged), self._at(name), options)
+        except Py4JJavaError as error:
+            if self._fs.exists(self._at(name)) and self._fs.exists(self._at(staged)):
+                return False
+            raise error
         return True
 
     def totals(self) -> DataFrame:
@@ -149,10 +168,11 @@ class TokenRollup:
         if len(live) > 1:
             fold = "folded-" + hashlib.sha256("".join(live).encode()).hexdigest()[:32]
             ledger = sorted(gone | set(live))
-            self.totals().write.mode("overwrite").parquet(f"{self.path}/staged/{fold}")
+            staged = f"staged/{fold}-{uuid.uuid4().hex}"
+            self.totals().write.parquet(f"{self.path}/{staged}")
             self.spark.createDataFrame([(n,) for n in ledger], "name string").write.mode("overwrite").json(f"{self.path}/ledgers/{fold}")
-            if not self._fs.rename(self._at(f"staged/{fold}"), self._at(f"batches/{fold}")):
-                raise RuntimeError("the fold could not be renamed into place")
+            if not self._placed(staged, f"batches/{fold}"):
+                self._fs.delete(self._at(staged), True)  # another driver has made the same fold
             gone |= set(live)
         for name in gone & set(names):
             self._fs.delete(self._at(f"batches/{name}"), True)

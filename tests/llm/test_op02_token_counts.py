@@ -56,12 +56,26 @@ def test_an_unfinished_fold_does_not_count(spark, rollup):
 def test_query_against_brute_force(spark, small):
     import public_tokenizers
 
-    docs = spark.read.parquet(f"{small}/documents.parquet").toPandas().sort_values("doc_id").drop_duplicates("text")
+    docs = spark.read.parquet(f"{small}/documents.parquet").toPandas().sort_values("doc_id")
+    once = docs.drop_duplicates("text")
+    shorter = once.assign(text=["\n".join(dict.fromkeys(t.split("\n"))) for t in once.text])
+    assert (shorter.text != once.text).any() and len(once) < len(docs)  # so that batches of both kinds have rows
     expected = {}
     for version, file in tc.TOKENIZERS.items():
         encode = tc._encoding(public_tokenizers.path(file)).encode_ordinary
-        for r in docs.itertuples():
-            n, tokens, chars = expected.get((r.source, r.lang, version), (0, 0, 0))
-            expected[r.source, r.lang, version] = (n + 1, tokens + len(encode(r.text)), chars + len(r.text))
-    found = {(r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in op2_token_rollup(spark, small).collect()}
+        for state, rows_ in (("loaded", docs), ("final", shorter)):
+            for r in rows_.itertuples():
+                key = (state, r.source, r.lang, version)
+                n, tokens, chars = expected.get(key, (0, 0, 0))
+                expected[key] = (n + 1, tokens + len(encode(r.text)), chars + len(r.text))
+    found = {(r.state, r.source, r.lang, r.tokenizer): (r.n_docs, r.n_tokens, r.n_chars) for r in op2_token_rollup(spark, small).collect()}
     assert found == expected
+
+
+def test_of_two_drivers_one_commits(spark, rollup):
+    other = tc.TokenRollup(spark, rollup.path)
+    other.committed = lambda batch_id: False  # it looked before the first one was through
+    assert rollup.commit("x", rows(spark, ("a", "en", "v", 1, 1, 1)))
+    assert not other.commit("x", rows(spark, ("a", "en", "v", 1, 1, 1)))
+    assert totals(rollup) == {("a", "en"): (1, 1, 1)}
+    assert not list(rollup._fs.listStatus(rollup._at("staged")))
