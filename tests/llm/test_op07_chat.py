@@ -49,3 +49,29 @@ def test_plan_is_native(spark, small):
     plan = chat.format_chats(spark.read.parquet(f"{small}/conversations.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert "op7_snapshot_collapse" in oracle_sql()
+
+
+def test_crowded_turns_are_split(spark):
+    """Conversations whose rows share a turn number, or have none, or are all the same."""
+    from collections import Counter
+
+    rng = random.Random(3)
+    schema = "conv_id long, turn long, role string, text string"
+    said = {
+        1: [(None, "user", f"t{k % 50}") for k in range(400)],
+        2: [(None, "user", "same")] * 900,
+        3: [(0, "user", f"x{rng.randrange(300)}") for _ in range(500)],
+        4: [(k, "user", "a") for k in range(5)],
+        5: [(None, "user", "same")] * 880,  # a prefix of 2
+    }
+    said[6], said[7] = said[1][::-1], said[3][:]
+    rng.shuffle(said[7])
+    rows = [(c, *r) for c, rs in said.items() for r in rs]
+    rng.shuffle(rows)
+    frame = spark.createDataFrame(rows, schema)
+    wanted = {(1, 400, 2), (2, 900, 1), (3, 500, 2), (4, 5, 1)}
+    for most in (30, 64, 65_536):
+        found = chat.maximal_conversations(frame, block_turns=16, most_rows=most).collect()
+        assert {(r.conv_id, r.n_turns, r.n_copies) for r in found} == wanted
+    out = chat.format_chats(frame).collect()
+    assert Counter((r.conv_id, r.rendered) for r in out if r.conv_id == 2) == {(2, "<|user|>\nsame\n<|end|>\n"): 900}
