@@ -5,6 +5,9 @@ bytes) of natural prose lies in a band that depends on how much text the compres
 overhead, long ones profit from a larger window.  A document is rejected when its whole-text ratio leaves the band of
 its length class (too high: repetitive; too low: incompressible), or when more than a given share of its chunks do.
 
+Scripts of several bytes a character repeat their lead bytes, which alone raises the ratio of ordinary prose by about
+as much; so the upper limits of a text above wide_bytes bytes a code point are multiplied by its bytes a code point.
+
 The operator is one pass without a shuffle: a Python worker sees a slice of an Arrow batch at a time, so memory is
 bounded by the batch and the longest single text.
 """
@@ -23,7 +26,8 @@ from siftwood.llm._shared import WHITE, binary_text
 from siftwood.runtime import ship
 
 SYMBOLS = b"#*$%&|<>"
-NOT_IN_WORDS = WHITE + bytes(range(0x80, 0xC0))  # white space and UTF-8 continuation bytes
+CONTINUATION = bytes(range(0x80, 0xC0))  # UTF-8's bytes that begin no code point
+NOT_IN_WORDS = WHITE + CONTINUATION
 
 
 @dataclass(frozen=True)
@@ -40,7 +44,9 @@ class CompressionRules:
     """Parameters of the method.
 
     bands: limits on the whole text's ratio by length; texts below the first band's min_bytes get no ratio verdict.
-    chunk_band: limits on the ratio of a chunk of chunk_bytes; a last chunk below min_chunk_bytes is not judged.
+    chunk_band: limits on the ratio of a chunk of chunk_bytes.  A last chunk below min_chunk_bytes is not judged, nor is
+    the one chunk of a text below chunk_bytes + min_chunk_bytes, which the whole text's ratio covers already.
+    wide_bytes: bytes a code point above which the upper limits grow with them.
     bad_chunk_share: the document goes if a larger share of its judged chunks leaves chunk_band.
     """
 
@@ -60,6 +66,7 @@ class CompressionRules:
     min_chunk_bytes: int = 2048
     chunk_band: tuple[float, float] = (1.45, 2.50)
     bad_chunk_share: float = 0.40
+    wide_bytes: float = 1.25
 
 
 RESULT = pa.schema(
@@ -105,6 +112,8 @@ def judge(raw: bytes, rules: CompressionRules, packer: zstandard.ZstdCompressor)
     if not n:
         return None, 0, 0, 0, None
     ratio = n / len(packer.compress(raw))
+    width = n / max(1, len(raw.translate(None, CONTINUATION)))
+    wide = width if width > rules.wide_bytes else 1.0
     low = high = judged = 0
     if n >= rules.chunk_bytes + rules.min_chunk_bytes:
         view = memoryview(raw)
@@ -115,10 +124,10 @@ def judge(raw: bytes, rules: CompressionRules, packer: zstandard.ZstdCompressor)
             judged += 1
             r = len(chunk) / len(packer.compress(chunk))
             low += r < rules.chunk_band[0]
-            high += r > rules.chunk_band[1]
+            high += r > wide * rules.chunk_band[1]
     reason = None
     band = next((b for b in reversed(rules.bands) if n >= b.min_bytes), None)
-    if band and ratio > band.highest:
+    if band and ratio > wide * band.highest:
         reason = "repetitive"
     elif band and ratio < band.lowest:
         reason = "incompressible"
@@ -160,7 +169,8 @@ def compression_bands(
     """One row for each row of docs: counts, ratios, base verdict, the reason of the method and kept.
 
     A null text counts as empty; a text without words has base_failed true (n_words < 50).  Texts below the first
-    band's length get no ratio verdict.  Repeated rows and null ids give a row each; other columns are not touched.
+    band's length get no ratio verdict.  Repeated rows and null ids give a row each; other columns are not touched.  An
+    empty table gives an empty result.
     """
     ship(docs.sparkSession)
     columns = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, ratio double, n_chunks long, n_low_chunks long, n_high_chunks long, reason string"

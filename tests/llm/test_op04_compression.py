@@ -67,3 +67,58 @@ def test_clean_documents_stay(spark, small):
     told = compression_bands(docs).join(labels, "doc_id").where("not base_failed").toPandas()
     assert told[told.quality == 1].kept.mean() > 0.999
     assert told[told.quality == 0].kept.mean() < 0.6
+
+
+def test_other_scripts(spark, documents):
+    """The same prose in letters of one byte and of two gets the same verdict; a repeated phrase goes in any script."""
+    import random
+
+    rng = random.Random(6)
+    letters = "eeeeeetttttaaaaoooiiinnnsssrrrhhhlldduuccmmffppggwwyybbvvk"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    cyrillic = {c: 0x430 + k for k, c in enumerate(range(97, 123))}
+    texts = {n: prose(n) for n in (90, 200, 500, 2000, 8000)}
+    texts |= {10 * n: t.translate(cyrillic) for n, t in texts.items()}
+    texts |= {7: "купи это сейчас " * 300}
+    found = {r.doc_id: r for r in compression_bands(documents(texts)).collect()}
+    assert found[7].reason == "repetitive"
+    assert {n: (found[n].reason, found[10 * n].reason) for n in (90, 200, 500, 2000, 8000)} == {n: (None, None) for n in (90, 200, 500, 2000, 8000)}
+    plain = CompressionRules(wide_bytes=9.0)  # without the rule some of the longer ones would go
+    assert any(r.reason for r in compression_bands(documents({k: t for k, t in texts.items() if k > 1000}), plain).collect())
+
+
+def test_query_against_brute_force(spark, small):
+    """Every column of the registered query, from plain Python over whole texts."""
+    import re
+
+    import zstandard
+
+    from siftwood.llm.queries import op4_compression_bands
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    rules = CompressionRules()
+    found = op4_compression_bands(spark, small).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        text = texts[r.doc_id]
+        words, raw = re.findall(r"[^\x20\x09-\x0D]+", text), text.encode()
+        windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+        twice = {w for w in windows if windows.count(w) > 1} if len(set(windows)) < len(windows) else set()
+        repeats = len({i + k for i, w in enumerate(windows) if w in twice for k in range(3)})
+        lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        assert (r.n_words, r.word_chars, r.n_symbols) == (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)))
+        assert (r.n_dup_lines, r.n_repeat_words) == (len(lines) - len(set(lines)), repeats)
+        assert r.base_failed == (len(words) < 50 or 100 * repeats > 50 * len(words))
+        size = lambda x: len(zstandard.ZstdCompressor(level=rules.level).compress(x))
+        wide = len(raw) / max(1, len(text))
+        wide = wide if wide > rules.wide_bytes else 1
+        band = max((b for b in rules.bands if len(raw) >= b.min_bytes), key=lambda b: b.min_bytes, default=None)
+        bad = band and not band.lowest <= len(raw) / size(raw) <= wide * band.highest
+        if len(raw) >= rules.chunk_bytes + rules.min_chunk_bytes:
+            chunks = [raw[i : i + rules.chunk_bytes] for i in range(0, len(raw), rules.chunk_bytes)]
+            ratios = [len(c) / size(c) for c in chunks if len(c) >= rules.min_chunk_bytes]
+            assert r.n_chunks == len(ratios)
+            for out in (sum(x < rules.chunk_band[0] for x in ratios), sum(x > wide * rules.chunk_band[1] for x in ratios)):
+                bad = bad or out > rules.bad_chunk_share * len(ratios)
+        assert r.kept == (not r.base_failed and not bad) and (r.reason is not None) == bool(bad)
