@@ -89,8 +89,10 @@ def phrase_places(words: str, phrase: str) -> "F.Column":
 def scan_licenses(docs: DataFrame, rules: LicenseRules = LicenseRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: n_words, n_base, first_word, last_word, base_labels, labels, score, placements.
 
-    score is 1 where a base phrase stands, else the largest share of a template's IDF found in place, else 0.  placements lists (label, place of the template's first word, share).  A null text counts as empty;
-    null ids and repeated rows give a row each; other columns are not read.
+    score is 1 where a base phrase stands, else the largest share of a template's IDF found in place, else 0.
+    placements lists (label, place of the template's first word, share); the place is below 0 for a notice whose
+    beginning the file lacks.  A null text counts as empty; null ids and repeated rows give a row each; other columns
+    are not read.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -140,7 +142,6 @@ def scan_licenses(docs: DataFrame, rules: LicenseRules = LicenseRules(), id_col:
     placed = (
         occurrences.join(index, "word")
         .withColumn("start", F.col("pos") - F.col("place"))
-        .where(F.col("start") >= 0)
         .groupBy("row", "template", "start")
         .agg(F.sum("share").alias("share"))
     )

@@ -33,8 +33,9 @@ def score_quality(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted): one row for each row of docs.
 
-    A null text counts as empty, a null metadata number makes no feature.  Null ids are scored and not held out;
-    repeated rows are scored each; other columns are not read; without usable labels every text scores alike.
+    A null text counts as empty, a null or missing metadata number makes no feature.  Null ids are scored and not held out;
+    repeated rows are scored each; other columns are not read; without usable labels every text scores alike.  An empty
+    table gives an empty result.
     """
     found = text_features.score(docs, model, text_features.words_and_structure, id_col, text_col, metadata)
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwood.llm import fm
-from siftwood.llm._shared import ALNUM, binary_text
+from siftwood.llm._shared import ALNUM, binary_text, sized_broadcast
 from siftwood.runtime import ship
 
 #: Bytes of a word's head that make a feature of their own, so that forms of one stem share what is learnt.
@@ -134,7 +134,7 @@ def _scored(sent, featurise: Featuriser, metadata: tuple[str, ...]):
 
 
 def _inputs(docs: DataFrame, id_col: str, text_col: str, metadata: tuple[str, ...], *more) -> DataFrame:
-    numbers = [F.col(m).cast("double").alias(m) for m in metadata]
+    numbers = [(F.col(m) if m in docs.columns else F.lit(None)).cast("double").alias(m) for m in metadata]
     return docs.select(F.col(id_col).cast("long").alias("id"), binary_text(text_col).alias("raw"), *numbers, *more)
 
 
@@ -167,7 +167,7 @@ def learn(
         .orderBy(F.xxhash64("label_id"), "label_id")
         .limit(max_rows)
     )
-    rows = _inputs(docs, id_col, text_col, metadata).join(F.broadcast(chosen), F.col("id") == F.col("label_id")).drop("label_id")
+    rows = _inputs(docs, id_col, text_col, metadata).join(sized_broadcast(chosen, max_rows, 32), F.col("id") == F.col("label_id")).drop("label_id")
     found = (
         rows.mapInArrow(_features_of(featurise, settings.dimensions, metadata), "id long, y int, features binary")
         .groupBy("id")

@@ -29,6 +29,7 @@ def score_toxicity(docs: DataFrame, model: fm.FMModel, threshold: float = THRESH
 
     A null text counts as empty; a text without words has the score of the model's bias.  Null ids are scored and not
     held out; repeated rows are scored each; other columns are not read; without usable labels every text scores alike.
+    An empty table gives an empty result.
     """
     found = text_features.score(docs, model, text_features.words_only, id_col, text_col)
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

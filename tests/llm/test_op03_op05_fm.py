@@ -80,3 +80,38 @@ def test_held_out_accuracy(spark, small, operator):
     assert told.score.between(0, 1).all()
     assert auc(told.score.values, told[operator].values) > 0.95
     assert (told.predicted == (told.score >= (0.5 if operator == "toxic" else 0.3))).all()
+
+
+@pytest.mark.parametrize("name", ["op3_toxicity_fm", "op5_quality_fm"])
+def test_query_against_all_pairs(spark, small, name):
+    """The registered query's scores, from every pair of features one by one; learnt rows are those not held out."""
+    from siftwood.llm.queries import queries
+
+    docs, labels = (spark.read.parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+    module, threshold = (toxicity, 0.5) if name.startswith("op3") else (quality, 0.3)
+    model = (module.learn_toxicity if module is toxicity else module.learn_quality)(docs, labels)
+    assert model.notes["rows"] == sum(zlib.crc32(str(r.doc_id).encode()) % 5 != 0 for r in labels.join(docs, "doc_id").collect())
+    found = {r.doc_id: r for r in queries()[name](spark, small).collect()}
+    rows = docs.collect()
+    assert len(found) == len(rows)
+    s, rng = model.settings, np.random.default_rng(0)
+    for r in rng.permutation(len(rows))[:60].tolist():
+        r = rows[r]
+        raw = (r.text or "").encode()
+        extra = () if module is toxicity else (("n_chars", np.log2(1 + r.n_chars)),)
+        features = (text_features.words_only if module is toxicity else text_features.words_and_structure)(raw, extra, s.dimensions)
+        own = [i for i in features if model.used[i]]
+        x = (len(own) + s.soften) ** -s.power
+        v = model.factors[own].astype(float)
+        pairs = sum(v[a] @ v[b] for a in range(len(own)) for b in range(a)) * x * x
+        value = 1 / (1 + np.exp(-np.clip(model.bias + model.linear[own].sum(dtype=float) * x + pairs, -30, 30)))
+        assert found[r.doc_id].score == pytest.approx(value, abs=1e-5)
+        assert found[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert found[r.doc_id].predicted == (found[r.doc_id].score >= threshold)
+
+
+def test_quality_without_metadata(spark, documents):
+    docs = documents({i: f"plain text number {i}" for i in range(20)}).drop("n_chars")
+    model = quality.learn_quality(docs, docs.selectExpr("doc_id", "doc_id % 2 AS quality"))
+    assert quality.score_quality(docs, model).count() == 20
+    assert quality.keep_good(docs, model, threshold=0.0).columns == docs.columns

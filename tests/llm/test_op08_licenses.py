@@ -70,3 +70,40 @@ def test_query_against_brute_force(spark, small):
         assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_labels_against_a_brute_force_of_placements(spark, documents):
+    """Random mixes of whole, cut and damaged notices; every template laid at every place."""
+    import random
+    from math import log
+
+    rng = random.Random(12)
+    texts = {}
+    for n in range(80):
+        words = []
+        for t in rng.sample(licenses.TEMPLATES, rng.randint(0, 6)):
+            own = t.text.split()
+            if rng.random() < 0.4:
+                own[rng.randrange(len(own))] = "zzz"
+            if rng.random() < 0.3:
+                own = own[rng.randint(1, 3) :]
+            words += own + [f"w{rng.randrange(50)}" for _ in range(rng.randint(0, 5))]
+        texts[n] = " ".join(words)
+    rules = licenses.LicenseRules()
+    vocabulary = {w for t in rules.templates for w in t.text.split()} - licenses.FUNCTION_WORDS
+    split = {n: t.split() for n, t in texts.items()}
+    idf = {w: log((len(split) + 1) / (sum(w in ws for ws in split.values()) + 1)) + 1 for w in vocabulary}
+    wanted = {}
+    for n, words in split.items():
+        labels = {label for p, label in licenses.BASE_PHRASES.items() if f" {p} " in f" {' '.join(words)} "}
+        for t in rules.templates:
+            own, key = t.text.split(), t.key.split()
+            at = licenses._key_place(t)
+            whole = sum(idf[w] for w in own if w in idf)
+            for start in range(-len(own), len(words)):
+                share = sum(idf[w] for k, w in enumerate(own) if w in idf and 0 <= start + k < len(words) and words[start + k] == w) / whole
+                if share >= rules.min_share and start + at >= 0 and words[start + at : start + at + len(key)] == key:
+                    labels.add(t.label)
+        wanted[n] = ",".join(sorted(labels))
+    found = {r.doc_id: r.labels for r in licenses.scan_licenses(documents(texts)).collect()}
+    assert found == wanted
