@@ -116,7 +116,7 @@ def test_tasks_grow_with_pieces_and_not_with_groups(spark, documents, monkeypatc
     dealt = []
     repartition = type(spark.range(0)).repartition
     monkeypatch.setattr(type(spark.range(0)), "repartition", lambda self, n, *c: dealt.append(n) or repartition(self, n, *c))
-    docs = documents({i: "word " * (i % 97 + 1) for i in range(600)})
+    docs = documents({i: " word" * (i % 97 + 1) for i in range(600)})
     for limit, most in ((1 << 19, spark.sparkContext.defaultParallelism), (100, 6)):
         dealt.clear()
         out = packing.pack_documents(docs, capacity=128, group_pieces=20, task_pieces=limit).collect()
