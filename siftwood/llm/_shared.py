@@ -44,7 +44,11 @@ class Scratch:
         except Exception:  # the session may have ended before; the folder is then left to its owner
             pass
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None, rows_per_task: int = 500_000) -> DataFrame:
+        """rows: how many there are at most, where that is known; so a small table is written by few tasks, not by one for
+        each partition of the shuffle before it."""
+        if rows is not None:
+            df = df.coalesce(tasks_for(self.spark, rows, rows_per_task))
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -199,12 +199,16 @@ _MENTIONS = pa.list_(
 )
 
 
+NOTED = f"doc_id long, text_hash long, base array<{SPAN}>, base_sha256 string, mentions {MENTION}, n_edges int"
+NOTED_NAMES = ["doc_id", "text_hash", "base", "base_sha256", "mentions", "n_edges"]
+
+
 def _noted(window: tuple[int, int], size: int = 512):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, size):
                 part = batch.slice(at, size)
-                spans, digests, mentions = [], [], []
+                spans, digests, mentions, edges = [], [], [], []
                 for text in part.column("text").to_pylist():
                     signs = text and ANY_SIGN.search(text)
                     base = base_spans(text) if signs else []
@@ -218,9 +222,10 @@ def _noted(window: tuple[int, int], size: int = 512):
                             if patterns or kind != OTHER:
                                 own.append({"kind": kind, "a": a, "b": b, "instance": _key(value), "patterns": patterns})
                     mentions.append(own)
+                    edges.append(sum(len(m["patterns"]) + 1 for m in own))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("text_hash"), pa.array(spans, _SPANS), pa.array(digests), pa.array(mentions, _MENTIONS)],
-                    names=["doc_id", "text_hash", "base", "base_sha256", "mentions"],
+                    [part.column("doc_id"), part.column("text_hash"), pa.array(spans, _SPANS), pa.array(digests), pa.array(mentions, _MENTIONS), pa.array(edges, pa.int32())],
+                    names=NOTED_NAMES,
                 )
 
     return run
@@ -248,18 +253,21 @@ def bootstrap(noted: DataFrame, rules: BootstrapRules, scratch: Scratch) -> Data
     mentions = noted.select(F.explode("mentions").alias("m")).select("m.kind", "m.instance", "m.patterns")
     edges = mentions.select("kind", "instance", F.explode("patterns").alias("pattern"))
     sides = [F.max(F.col("kind") == f"{mark}{k}").alias(f"{name}_{k}") for mark, name in (("", "is"), ("?", "may")) for k in KINDS]
-    pairs = scratch.save(edges.groupBy("pattern", "instance").agg(F.max(F.col("kind") == OTHER).alias("other"), *sides))
+    n_edges = noted.agg(F.sum("n_edges")).first()[0] or 0
+    pairs = scratch.save(edges.groupBy("pattern", "instance").agg(F.max(F.col("kind") == OTHER).alias("other"), *sides), n_edges)
     candidates = scratch.save(
-        edges.where(F.col("kind").startswith("?")).select("pattern", "instance", F.substring("kind", 2, 16).alias("kind")).distinct()
+        edges.where(F.col("kind").startswith("?")).select("pattern", "instance", F.substring("kind", 2, 16).alias("kind")).distinct(), n_edges
     )
+    n_pairs, n_candidates = pairs.count(), candidates.count()
     named = mentions.where(F.col("kind") != OTHER).select("instance", F.ltrim("kind", F.lit("?")).alias("kind"), F.col("kind").startswith("?").alias("open"))
     # a candidate that equals a seed
     equal = scratch.save(
         named.groupBy("instance", "kind").agg(F.max("open").alias("open"), F.min("open").alias("all_open"))
         .where("open and not all_open")
-        .select("instance", "kind", F.lit(1.0).alias("reliability"))
+        .select("instance", "kind", F.lit(1.0).alias("reliability")),
+        n_edges // 2,
     )
-    reliable = equal
+    n_equal, reliable = equal.count(), equal
     for _ in range(rules.rounds):
         kinds = reliable.groupBy("instance").agg(F.collect_set("kind").alias("kinds"))
         seen = pairs.join(kinds, "instance", "left").select(
@@ -280,13 +288,15 @@ def bootstrap(noted: DataFrame, rules: BootstrapRules, scratch: Scratch) -> Data
             .select("pattern", F.explode("sums").alias("s"))
             .where(F.col("s.n") >= rules.seeds)
             .select("pattern", "s.kind", F.least(F.col("s.n") / (F.col("s.n") + F.col("s.against")), F.lit(0.99)).alias("confidence"))
-            .where(F.col("confidence") >= rules.confident)
+            .where(F.col("confidence") >= rules.confident),
+            n_pairs,
         )
         found = candidates.join(patterns, ["pattern", "kind"]).groupBy("instance", "kind").agg(
             (1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("reliability")
         )
         before, reliable = reliable, scratch.save(
-            found.where(F.col("reliability") >= rules.accept).unionByName(equal).groupBy("instance", "kind").agg(F.max("reliability").alias("reliability"))
+            found.where(F.col("reliability") >= rules.accept).unionByName(equal).groupBy("instance", "kind").agg(F.max("reliability").alias("reliability")),
+            n_candidates + n_equal,
         )
         scratch.drop(patterns)
         if before is not equal:
@@ -310,12 +320,8 @@ def find_spans(
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession)
-    noted = scratch.save(
-        _rows(docs, id_col, text_col).mapInArrow(
-            _noted(rules.window), f"doc_id long, text_hash long, base array<{SPAN}>, base_sha256 string, mentions {MENTION}"
-        )
-    )
-    accepted = scratch.save(bootstrap(noted, rules, scratch))
+    noted = scratch.save(_rows(docs, id_col, text_col).mapInArrow(_noted(rules.window), NOTED))
+    accepted = bootstrap(noted, rules, scratch)
     key = ["doc_id", "text_hash"]
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int") - 1
     mentioned = (
@@ -332,13 +338,14 @@ def find_spans(
     added = scratch.save(
         best.groupBy(*key).agg(
             F.array_sort(F.collect_list(F.struct(F.col("best.number").alias("kind"), "a", "b"))).alias("added")
-        )
+        ),
+        noted.count(),
     )
     right = added.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "added")
     n = added.count()
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash"))
     return (
-        noted.drop("mentions")
+        noted.drop("mentions", "n_edges")
         .join(sized_broadcast(right, n, 256), same, "left")
         .select(*key, "base", "base_sha256", F.coalesce("added", F.array().cast(f"array<{SPAN}>")).alias("added"))
     )
@@ -387,7 +394,7 @@ def mask_documents(docs: DataFrame, rules: BootstrapRules = BootstrapRules(), id
     stay as they are; an empty table stays empty."""
     found = find_spans(docs, rules, id_col, text_col).where(F.size("added") > 0).select("doc_id", "text_hash", "added")
     scratch = Scratch(docs.sparkSession)
-    extra = scratch.save(found.dropDuplicates(["doc_id", "text_hash"]))
+    extra = scratch.save(found.dropDuplicates(["doc_id", "text_hash"]), docs.count())
     right = extra.select(F.col("doc_id").alias("found_id"), F.col("text_hash").alias("found_hash"), F.col("added").alias("found_added"))
     names = [f.name for f in docs.schema.fields]
     at_id, at_text = names.index(id_col), names.index(text_col)

@@ -213,14 +213,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _dealt(reps: DataFrame, scratch: Scratch, max_bucket: int) -> DataFrame:
-    """(mask, fp, rep): each fingerprint in all buckets that it has to be compared in."""
+def _dealt(reps: DataFrame, n_reps: int, scratch: Scratch, max_bucket: int) -> DataFrame:
+    """(mask, fp, rep): each of n_reps fingerprints in all buckets that it has to be compared in."""
     masks, done = _parts(0), []
     rows = reps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp", "rep")
     while True:
         key = F.col("fp").bitwiseAND(F.col("mask"))
         heavy = scratch.save(
-            rows.groupBy("mask", key.alias("key")).count().where(F.col("count") > max_bucket).select("mask", "key")
+            rows.groupBy("mask", key.alias("key")).count().where(F.col("count") > max_bucket).select("mask", "key"),
+            n_reps * len(masks) // max_bucket,
         )
         n = heavy.count()
         if not n or len(masks) >= 4**5:
@@ -242,30 +243,32 @@ def _dealt(reps: DataFrame, scratch: Scratch, max_bucket: int) -> DataFrame:
     return out
 
 
-def star_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def star_components(edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
     """(a, b): each node of the edges (a, b) that is not its component's smallest, with the smallest as b.
 
+    most: how many edges there are at most.
+
     Alternating large-star and small-star steps.  A hub's edges are never gathered: minima come from partial
     aggregates, and go back by joins of two stored tables, whose large partitions Spark splits.
     """
     e = scratch.save(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), most
     )
     before = None
     while True:
         mark = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == before or not mark[0]:
             return e
-        before = mark
-        both = scratch.save(e.select("a", "b").union(e.select("b", "a")))
-        low = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        before, most = mark, 2 * mark[0]
+        both = e.select("a", "b").union(e.select("b", "a"))
+        low = scratch.save(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), most)
         large = scratch.save(
-            both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+            both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), most
         )
-        low2 = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")))
+        low2 = scratch.save(large.groupBy("a").agg(F.min("b").alias("m")), most)
         small = large.join(low2, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        new = scratch.save(small.union(low2.select("a", F.col("m").alias("b"))).distinct())
-        for x in (e, both, low, large, low2):
+        new = scratch.save(small.union(low2.select("a", F.col("m").alias("b"))).distinct(), most)
+        for x in (e, low, large, low2):
             scratch.drop(x)
         e = new
 
@@ -293,15 +296,17 @@ def simhash_components(
         )
     )
     reps = scratch.save(
-        prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+        prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), prints.count()
     )
-    dealt = scratch.save(_dealt(reps, scratch, max_bucket))
-    tasks = tasks_for(spark, dealt.count(), task_rows)
+    n_reps = reps.count()
+    dealt = _dealt(reps, n_reps, scratch, max_bucket)
+    n_dealt = dealt.count()
+    tasks = tasks_for(spark, n_dealt, task_rows)
     edges = dealt.repartition(tasks, "mask", F.col("fp").bitwiseAND(F.col("mask"))).mapInArrow(_stars(radius), "a long, b long")
-    stars = star_components(edges, scratch)
+    stars = star_components(edges, scratch, n_dealt)
     roots = stars.select(F.col("a").alias("rep"), F.col("b").alias("root"))
     known = scratch.save(
-        reps.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+        reps.join(roots, "rep", "left").select("fp", F.coalesce("root", "rep").alias("component_id")), n_reps
     )
     return prints.join(known, "fp", "left").select("doc_id", "fp", "component_id")
 
@@ -316,9 +321,10 @@ def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Of several rows with that id one stays.  Rows with a null id cannot be told apart by it and all stay.
     """
     scratch = Scratch(docs.sparkSession)
-    found = scratch.save(simhash_components(docs, id_col, text_col, radius).where("doc_id is not null").select("doc_id", "component_id"))
-    losers = scratch.save(found.where("component_id <> doc_id").select("doc_id").distinct())
-    repeated = scratch.save(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    found = scratch.save(simhash_components(docs, id_col, text_col, radius).where("doc_id is not null").select("doc_id", "component_id"), docs.count())
+    n = found.count()
+    losers = scratch.save(found.where("component_id <> doc_id").select("doc_id").distinct(), n)
+    repeated = scratch.save(found.groupBy("doc_id").count().where("count > 1").select("doc_id"), n // 2)
     kept = drop_ids(docs, losers, losers.count(), id_col)
     n = repeated.count()
     if not n:

@@ -148,7 +148,7 @@ def test_graph_scores_against_plain_python(spark, documents):
         texts[i] = rng.choice(contexts).format(value)
     rules = pii.BootstrapRules()
     scratch = Scratch(spark)
-    noted = scratch.save(pii._rows(documents(texts), "doc_id", "text").mapInArrow(pii._noted(rules.window), f"doc_id long, text_hash long, base array<{pii.SPAN}>, base_sha256 string, mentions {pii.MENTION}"))
+    noted = scratch.save(pii._rows(documents(texts), "doc_id", "text").mapInArrow(pii._noted(rules.window), pii.NOTED))
     found = {(r.instance, r.kind): r.reliability for r in pii.bootstrap(noted, rules, scratch).collect()}
 
     edges, named = defaultdict(set), defaultdict(set)
