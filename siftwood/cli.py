@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from siftwood.config import Flags
 from siftwood.plans import engine, render
 from siftwood.plans.analyzers import capabilities
+from siftwood.runtime import setup_logging
 from siftwood.sources.sinks import extract
 
 
@@ -23,15 +24,18 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("-v", "--verbosity", type=int, default=0)
     parser.add_argument("-d", "--debug", action="store_true")
     parser.add_argument("--defang", action="store_true")
+    parser.add_argument("--yara", dest="yara_rules_dir", help="a folder of rule files")
     parser.add_argument("--network-policy", default="passive", choices=("passive", "online"))
     args = parser.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
     if args.check:
         capabilities(spark).show(100, truncate=False)
         return 0
-    flags = Flags.from_session(spark).update({"debug": args.debug, "defang": args.defang, "network_policy": args.network_policy})
+    flags = Flags.from_session(spark).update({"debug": args.debug, "defang": args.defang, "network_policy": args.network_policy} | ({"yara_rules_dir": args.yara_rules_dir} if args.yara_rules_dir else {}))
+    log = setup_logging(spark, flags.debug)
     render.get_renderer(args.format)
     for path in args.files:
+        log.debug("analysing %s", path)
         result = engine.analyze(spark, path, flags)
         for row in render.render(result, args.format, args.verbosity, flags.defang).toLocalIterator():
             print(row["rendered"])

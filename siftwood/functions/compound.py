@@ -1,4 +1,4 @@
-"""Compound files (the binary office format) and images, read by their published layouts; no wheel is needed.
+"""Compound files (the binary office format), read by their published layout; no wheel is needed.
 
 Like functions.formats, all of this is plain Python on one file's bytes, for use inside Arrow workers.
 """
@@ -9,6 +9,7 @@ import re
 import struct
 import uuid
 from dataclasses import dataclass
+from datetime import datetime, timedelta
 
 from siftwood.functions.content import CRITICAL_EXTENSIONS, HIGH_EXTENSIONS
 from siftwood.functions.formats import EXPLOITED_CLASSES, File, Outcome
@@ -39,7 +40,19 @@ TYPE_OF_CLASS = {
 TYPE_OF_STREAM = {"worddocument": "Word", "1table": "Word", "0table": "Word", "workbook": "Excel", "book": "Excel", "powerpointdocument": "PowerPoint"}
 MACRO_NAMES = ("vba", "macros", "_vba_project", "_vba_project_cur", "vbaproject.otm")
 FILEPASS = 0x002F
-SUMMARY_FIELDS = {2: "title", 3: "subject", 4: "author", 6: "comments", 7: "template", 8: "last_saved_by", 18: "application"}
+SUMMARY_FIELDS = {2: "title", 3: "subject", 4: "author", 6: "comments", 7: "template", 8: "last_saved_by", 9: "revision", 12: "create_time", 13: "last_saved_time", 18: "application"}
+DOCUMENT_FIELDS = {2: "category", 14: "manager", 15: "company"}
+# Parts of stream names, in lower case, with what they tell and how grave it is.
+TELLING_STREAMS = {
+    "\x01ole": ("OLE native data stream", 4),
+    "\x01compobj": ("Compound object identification", 4),
+    "\x03objinfo": ("Object information stream", 4),
+    "equationnative": ("Equation Editor native data — possible exploit vector", 1),
+    "powerpointdocument": ("PowerPoint document stream", 4),
+    "worddocument": ("Word document stream", 4),
+    "workbook": ("Excel workbook stream", 4),
+    "book": ("Excel 5.0/95 workbook stream", 4),
+}
 
 
 @dataclass(frozen=True)
@@ -149,8 +162,8 @@ def has_filepass(workbook: bytes) -> bool:
     return False
 
 
-def summary(raw: bytes) -> dict[str, str]:
-    """Texts of a summary stream's first property set."""
+def summary(raw: bytes, names: dict[int, str] = SUMMARY_FIELDS) -> dict[str, str]:
+    """Texts and times of a summary stream's first property set."""
     out: dict[str, str] = {}
     if len(raw) < 48:
         return out
@@ -162,11 +175,20 @@ def summary(raw: bytes) -> dict[str, str]:
             break
         number, offset = struct.unpack_from("<II", raw, base + 8 + 8 * k)
         at = base + offset
-        if number in SUMMARY_FIELDS and at + 8 <= len(raw) and struct.unpack_from("<I", raw, at)[0] == 30:
-            n = struct.unpack_from("<I", raw, at + 4)[0]
+        if number not in names or at + 8 > len(raw):
+            continue
+        kind, n = struct.unpack_from("<II", raw, at)
+        text = ""
+        if kind == 30:
             text = raw[at + 8 : at + 8 + n].split(b"\0")[0].decode("cp1252", "replace").strip()
-            if text:
-                out[SUMMARY_FIELDS[number]] = text
+        elif kind == 31:
+            text = raw[at + 8 : at + 8 + 2 * n].decode("utf-16-le", "replace").split("\0")[0].strip()
+        elif kind == 64 and at + 12 <= len(raw):
+            ticks = struct.unpack_from("<Q", raw, at + 4)[0]
+            if 0 < ticks < 1 << 62:
+                text = (datetime(1601, 1, 1) + timedelta(microseconds=ticks // 10)).isoformat(" ")
+        if text:
+            out[names[number]] = text
     return out
 
 
@@ -194,11 +216,18 @@ def compound_document(file: File) -> Outcome:
         else:
             out.tell(f"clsid_{'/'.join(e.path)}", f"{words} ({e.class_id})", 0 if grave else 4 if e.class_id in TYPE_OF_CLASS else 2, label="clsid")
     for e in streams:
-        if "equationnative" in e.path[-1].lower().replace(" ", ""):
-            out.tell(f"stream_{'/'.join(e.path)}", "Equation Editor native data — possible exploit vector", 1, label="stream")
+        name, path = e.path[-1].lower().replace(" ", ""), "/".join(e.path)
+        for part, (words, level) in TELLING_STREAMS.items():
+            if part in name:
+                out.tell(f"stream_{path}", f"{words}: {path}", level, label=f"stream:{path}", verbosity=0 if level < 4 else 2)
+                break
     if any(part.lower() in MACRO_NAMES for e in found for part in e.path):
+        from siftwood.functions import vba
+
         out.tell("has_vba", "VBA macros present", 0, label="has_vba")
+        vba.document_macros(out, found)
     fields = {k: v for e in streams if e.path[-1] == "\x05SummaryInformation" for k, v in summary(e.content).items()}
+    fields |= {k: v for e in streams if e.path[-1] == "\x05DocumentSummaryInformation" for k, v in summary(e.content, DOCUMENT_FIELDS).items()}
     if fields:
         out.tell("metadata", "\n".join(f"{k}: {v}" for k, v in fields.items()), label="metadata", verbosity=1, data=fields)
     template = fields.get("template", "")
@@ -222,40 +251,3 @@ def compound_document(file: File) -> Outcome:
         if payload:
             out.hold(name or f"embedded_{k}.bin", payload, archive_type="ole", archive_filename="/".join(e.path))
     return out
-
-
-# --- images -------------------------------------------------------------------------------------------------------
-
-
-def dimensions(raw: bytes) -> tuple[str, int, int] | None:
-    """(format, width, height) by the head of a PNG, GIF, BMP or JPEG file."""
-    if raw[:8] == b"\x89PNG\r\n\x1a\n" and len(raw) >= 24:
-        return "PNG", *struct.unpack_from(">II", raw, 16)
-    if raw[:4] == b"GIF8" and len(raw) >= 10:
-        return "GIF", *struct.unpack_from("<HH", raw, 6)
-    if raw[:2] == b"BM" and len(raw) >= 26:
-        return "BMP", *map(abs, struct.unpack_from("<ii", raw, 18))
-    if raw[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(raw) and raw[at] == 0xFF:
-            if 0xC0 <= raw[at + 1] <= 0xCF and raw[at + 1] not in (0xC4, 0xC8, 0xCC):
-                height, width = struct.unpack_from(">HH", raw, at + 5)
-                return "JPEG", width, height
-            at += 2 + struct.unpack_from(">H", raw, at + 2)[0]
-    return None
-
-
-def image(file: File) -> Outcome:
-    out, found = Outcome(), dimensions(file.content)
-    if not found:
-        out.tell("error", "image could not be read", label="error")
-        return out
-    kind, width, height = found
-    out.info = f"{kind} {width}x{height}"
-    out.tell("dimensions", f"{width}x{height}", label="dimensions")
-    out.tell("format", kind, label="format")
-    if width <= 3 and height <= 3:
-        out.tell("tracking_pixel", f"Image of {width}x{height} pixels — possible tracking pixel", 2, label="tracking_pixel")
-    if b"Exif\0\0" in file.content[:65536]:
-        out.tell("exif", "EXIF data present", label="exif", verbosity=1)
-    return out

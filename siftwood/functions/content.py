@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -189,25 +189,61 @@ def looks_like_text(content: Column) -> Column:
     return (F.length(hexes) > 0) & ~hexes.rlike("^(..)*0[0-8]")
 
 
+def _by_extension(content: Column, filename: Column) -> Column:
+    mime = F.create_map(*[F.lit(x) for pair in EXTENSION_TYPES.items() for x in pair])[extension(filename)]
+    return F.when(mime.isNotNull(), F.struct(mime.alias("mime"), F.lit("by extension").alias("description")))
+
+
+def _by_program(name: str) -> Callable[[Column, Column], Column]:
+    """A provider that asks a program or a wheel on the workers; no answer where it is not installed there."""
+
+    def ask(content: Column, filename: Column) -> Column:
+        import pandas as pd
+
+        def run(contents: pd.Series) -> pd.DataFrame:
+            from siftwood.functions.tools import TYPE_PROGRAMS
+
+            answers = [TYPE_PROGRAMS[name](bytes(c)) if c is not None else None for c in contents]
+            return pd.DataFrame([a or (None, None) for a in answers], columns=["mime", "description"])
+
+        run.__annotations__ = {"contents": pd.Series, "return": pd.DataFrame}
+        found = F.pandas_udf(run, "mime string, description string")(content)
+        return F.when(found["mime"].isNotNull(), found)
+
+    return ask
+
+
+#: Who tells a type, by name: a function of content and filename that gives (mime, description), or null.
+PROVIDERS: dict[str, Callable[[Column, Column], Column]] = {
+    "native": lambda content, filename: sniffed(content),
+    "extension": _by_extension,
+    **{name: _by_program(name) for name in ("libmagic", "file", "magika")},
+}
+
+
+def register_provider(name: str, provider: Callable[[Column, Column], Column]) -> None:
+    """Adds a provider; it is asked where a run's order names it."""
+    PROVIDERS[name] = provider
+
+
 def detected(content: Column, filename: Column, order: tuple[str, ...] = ("native", "extension")) -> Column:
     """(mime, description, provider): the first provider with an answer, else what a text is, else octet-stream."""
-    by_name = F.create_map(*[F.lit(x) for pair in EXTENSION_TYPES.items() for x in pair])[extension(filename)]
     made = lambda mime, words, provider: F.struct(mime.alias("mime"), words.alias("description"), F.lit(provider).alias("provider"))
-    seen = sniffed(content)
-    answers = {
-        "native": F.when(seen.isNotNull(), made(seen["mime"], seen["description"], "native")),
-        "extension": F.when(by_name.isNotNull(), made(by_name, F.lit("by extension"), "extension")),
-    }
+    answers = {}
+    for p in order:
+        if p in PROVIDERS:
+            answer = PROVIDERS[p](content, filename)
+            answers[p] = F.when(answer.isNotNull(), made(answer["mime"], answer["description"], p))
     rest = F.when(looks_like_text(content), made(F.lit("text/plain"), F.lit("text"), "fallback")).otherwise(
         made(F.lit("application/octet-stream"), F.lit("data"), "fallback")
     )
-    return F.coalesce(*[answers[p] for p in order if p in answers], rest)
+    return F.coalesce(*answers.values(), rest)
 
 
-def detected_by_all(content: Column, filename: Column) -> Column:
+def detected_by_all(content: Column, filename: Column, order: tuple[str, ...] = ("native", "extension")) -> Column:
     """What each provider says, for display."""
     return F.filter(
-        F.array(*[F.struct(F.lit(p).alias("provider"), detected(content, filename, (p,))["mime"].alias("mime"), detected(content, filename, (p,))["provider"].alias("by")) for p in ("native", "extension")]),
+        F.array(*[F.struct(F.lit(p).alias("provider"), detected(content, filename, (p,))["mime"].alias("mime"), detected(content, filename, (p,))["provider"].alias("by")) for p in order]),
         lambda x: x["by"] == x["provider"],
     )
 

@@ -300,9 +300,34 @@ def script(file: File) -> Outcome:
     if coded is not None:
         out.tell("jse_encoded", "Encoded script decoded", 1, label="encoded")
         out.hold("decoded.js", coded, "text/javascript")
+    from siftwood.functions import tools
+
+    laid_out = tools.beautified(source)
+    if tools.much_changed(source, laid_out):
+        out.tell("beautified", f"Source laid out anew in {laid_out.count(chr(10)) + 1} lines", short="Source laid out anew", label="beautified", verbosity=2, order=70)
+        out.hold("beautified.js", laid_out.encode(), "text/plain")
+    plain_source = tools.deobfuscated(source)
+    if plain_source:
+        rescan(out, plain_source[1], f"Deobfuscated by {plain_source[0]} ({len(plain_source[1])} chars)", found)
+    run = tools.run_sandbox(file.content)
+    if run:
+        tools.tell_sandbox(out, run)
     return out
 
 
+def rescan(out: Outcome, source: str, words: str, known: list[dict]) -> None:
+    """Threats of a deobfuscated source that its first form did not show, and the chain of both together."""
+    out.tell("deobfuscated", words, label="deobfuscated", verbosity=1, order=71)
+    names = {t["pattern"] for t in known}
+    new = [t for t in threats(source) if t["pattern"] not in names]
+    for k, t in enumerate(new, len(known)):
+        out.tell(f"threat_{k}", f"[post-deobfuscation] {t['description']}: {t['context']}", t["severity"], short=f"[deobf] {t['pattern']}", label="threat")
+    names |= {t["pattern"] for t in new}
+    if not any(r["key"] == "kill_chain" for r in out.reports) and names & set(scripts.DOWNLOAD) and names & set(scripts.WRITE) and names & set(scripts.EXECUTE):
+        out.tell("kill_chain", "Download, write and execute parts occur together after deobfuscation", 0, label="kill_chain")
+    out.hold("deobfuscated.js", source.encode(), "text/plain")
+
+
 def score(m: dict, source: str, lib: str | None) -> tuple[int, list[str]]:
     """The points and signs of obfuscation, as scripts.obfuscation has them for columns."""
     rules = (
@@ -493,6 +518,14 @@ PROTOCOLS = {
     "mhtml:": "MHTML handler (CVE-2021-40444)",
     "cid:": "Content-ID reference",
 }
+SECURITY_FOLDERS = ("activeX/", "embeddings/", "externalLinks/")
+NOISE = (
+    "word/theme/", "word/styles.xml", "word/settings.xml", "word/fontTable.xml", "word/webSettings.xml", "word/numbering.xml", "word/footnotes.xml",
+    "word/endnotes.xml", "word/comments.xml", "word/commentsExtended.xml", "word/people.xml", "word/media/",
+    "xl/theme/", "xl/styles.xml", "xl/sharedStrings.xml", "xl/calcChain.xml", "xl/printerSettings/",
+    "ppt/theme/", "ppt/slideLayouts/", "ppt/slideMasters/", "ppt/presProps.xml", "ppt/viewProps.xml", "ppt/tableStyles.xml", "ppt/media/",
+    "docProps/core.xml", "docProps/app.xml", "docProps/thumbnail", "[Content_Types].xml", "customXml/",
+)
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 COMPATIBILITY = "{http://schemas.openxmlformats.org/markup-compatibility/2006}"
 
@@ -542,8 +575,10 @@ def office_package(file: File) -> Outcome:
         out.tell("error", "Bad ZIP file.", 1, label="error")
         return out
     members = archive.infolist()
-    if sum(m.file_size for m in members) > max(file.max_ratio * len(file.content), 1 << 20):
-        out.tell("error", "Zip bomb detected: compression ratio too high.", 1, label="error")
+    size = sum(m.file_size for m in members)
+    bomb = "total uncompressed size is too large" if size > file.max_size else "compression ratio too high" if size > max(file.max_ratio * len(file.content), 1 << 20) else None
+    if bomb:
+        out.tell("error", f"Zip bomb detected: {bomb}.", 1, label="error")
         return out
     parts = {m.filename: archive.read(m) for m in members}
     names = list(parts)
@@ -577,7 +612,8 @@ def office_package(file: File) -> Outcome:
             out.tell(f"orphan_{name}", f"Unreferenced file (orphan): {name}", 2)
         if "vbaProject.bin" in name:
             out.tell("vba_macros", f"VBA project: {name}", 0, label="vba_macros")
-        if binary or orphan or "vbaProject.bin" in name:
+            _macros(out, name, raw)
+        if binary or orphan or "vbaProject.bin" in name or security_relevant(name) and not noise(name):
             out.hold(posixpath.basename(name) or None, raw, archive_type="ooxml", archive_filename=name)
     runs = []
     for name, raw in parts.items():
@@ -585,11 +621,62 @@ def office_package(file: File) -> Outcome:
             runs += [e.text for e in root.iter() if e.tag.rpartition("}")[2] == "t" and e.text]
     if runs:
         out.hold("document_text.txt", " ".join(runs).encode(), "text/plain")
-    core = parsed(parts.get("docProps/core.xml", b"")) if "docProps/core.xml" in parts else None
-    if core is not None:
-        values = {e.tag.rpartition("}")[2]: e.text for e in core if e.text}
-        if values:
-            out.tell("metadata", "\n".join(f"{k}: {v}" for k, v in values.items()), label="metadata", verbosity=1, data=values)
+    values = {}
+    for name in ("docProps/core.xml", "docProps/app.xml"):
+        root = parsed(parts[name]) if name in parts else None
+        values |= {e.tag.rpartition("}")[2]: e.text.strip() for e in (root if root is not None else ()) if e.text and e.text.strip()}
+    if values:
+        out.tell("metadata", "\n".join(f"{k}: {v}" for k, v in values.items()), label="metadata", verbosity=1, data=values)
+    template = values.get("Template", "")
+    if template.lower().startswith(("http", "\\\\", "//")):
+        out.tell("remote_template_meta", f"The document's properties name a remote template: {template}", 0, label="remote_template")
+    return out
+
+
+def _macros(out: Outcome, name: str, raw: bytes) -> None:
+    import struct
+
+    from siftwood.functions import compound, vba
+
+    try:
+        found = compound.entries(raw)
+    except (ValueError, struct.error):
+        return
+    vba.document_macros(out, found, f"{name}_")
+
+
+def security_relevant(name: str) -> bool:
+    """Parts that can hold links, code or objects."""
+    return name.endswith((".rels", "vbaProject.bin", ".xml")) or any(d in name for d in SECURITY_FOLDERS)
+
+
+def noise(name: str) -> bool:
+    """Parts that are structure, looks or media only; folders too."""
+    return name.endswith("/") or name.startswith(NOISE)
+
+
+def relationships_part(file: File) -> Outcome:
+    """A relationship part by itself: its links to the outside."""
+    out = Outcome()
+    root = parsed(file.content)
+    if root is None:
+        out.tell("parse_error", "The relationships could not be read as XML", 1, label="error")
+        return out
+    n = 0
+    for k, rel in enumerate(root):
+        if rel.get("TargetMode") == "External":
+            n += 1
+            kind = rel.get("Type", "")
+            words, level = external(kind, rel.get("Target", ""))
+            out.tell(f"external_link_{k}", words, level, label="remote_template" if "attachedTemplate" in kind else "external_link")
+    out.info = f"{n} external relationship(s)" if n else "No external relationships"
+    return out
+
+
+def document_part(file: File) -> Outcome:
+    """An XML part of an office package by itself."""
+    out = Outcome("XML part of an office package")
+    _content(out, file.filename or "part.xml", file.content)
     return out
 
 

@@ -7,15 +7,17 @@ executor costs the level at work and no more.
 
 from __future__ import annotations
 
+import atexit
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwood.config import Flags
-from siftwood.functions import content, iocs, text
+from siftwood.functions import content, iocs, reputation, text
 from siftwood.operators import hops as hop_ops
 from siftwood.operators import rules
 from siftwood.operators import timeline as timeline_ops
@@ -32,19 +34,38 @@ class TriageResult:
     iocs: DataFrame
     hops: DataFrame
     timeline: DataFrame
+    gateways: DataFrame
+    verdicts: DataFrame
+    store: "Store" = field(repr=False)
+
+    def drop(self) -> None:
+        """Removes the tables; the frames cannot be read any more."""
+        self.store.drop()
 
 
 class Store:
-    """Tables below spark.checkpoint.dir, or below a temporary folder where that is unset."""
+    """Tables in a folder of their own below spark.checkpoint.dir; they go with drop, or when the driver's Python ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, scratch_folder(spark, "triage")
+        atexit.register(self.drop)
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{uuid.uuid4().hex}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def drop(self) -> None:
+        atexit.unregister(self.drop)
+        context = self.spark.sparkContext
+        if context._jsc is None:  # the session has ended; the folder is left to its owner
+            return
+        try:
+            target = context._jvm.org.apache.hadoop.fs.Path(self.root)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+        except (Py4JError, OSError):
+            pass  # so has its JVM
+
 
 def typed(nodes: DataFrame, flags: Flags) -> DataFrame:
     """Nodes with hashes, size and types; a declared type goes before the detected one."""
@@ -84,13 +105,23 @@ def _children(nodes: DataFrame, outcomes: DataFrame, flags: Flags) -> DataFrame:
     return typed(raw, flags)
 
 
+#: Node ids that may be broadcast to a table with contents; beyond it the join shuffles.
+FEW_IDS = 200_000
+
+
 def expand(frontier: DataFrame, seen: DataFrame, flags: Flags, store: Store) -> tuple[list[DataFrame], list[DataFrame]]:
-    """(nodes, outcomes) of a level and all below it.  Of equal contents in one root the first in preorder is analysed."""
+    """(nodes, outcomes) of a level and all below it.  Of equal contents in one root the first in preorder is analysed.
+
+    A level is hashed and typed once, when it is stored; which of its nodes are new is found by keys alone, and contents
+    are fetched by node id at the end.
+    """
     levels, outcomes = [], []
     for level in range(flags.max_analysis_depth + 2):
-        firsts = frontier.groupBy("root_id", "sha256").agg(F.min("path").alias("path"))
-        new = frontier.join(firsts, ["root_id", "sha256", "path"], "left_semi")
-        new = store.save(rules.unseen(new, seen, "root_id", "sha256").select(frontier.columns))
+        frontier = store.save(frontier)
+        firsts = frontier.groupBy("root_id", "sha256").agg(F.min(F.struct("path", "node_id")).alias("first"))
+        ids = store.save(rules.unseen(firsts, seen, "root_id", "sha256").select(F.col("first.node_id").alias("node_id")))
+        few = ids.count() <= FEW_IDS
+        new = store.save(frontier.join(F.broadcast(ids) if few else ids, "node_id", "left_semi").select(frontier.columns))
         if new.isEmpty():
             break
         seen = seen.unionByName(new.select("root_id", "sha256"))
@@ -166,8 +197,15 @@ def final_reports(nodes: DataFrame, flags: Flags) -> DataFrame:
     return every.unionByName(_flat(found, "PlainTextAnalyzer", told, 1001))
 
 
-def route_reports(hops: DataFrame) -> DataFrame:
-    """The reports on a message's way, out of all messages' hops at once."""
+#: What a table of hops shows of each.
+HOP_CELLS = (
+    "hop", "by_hostname", "by_ip", "server_type", "from_name", "from_ip", "annotations", "protocol", "tls", "cipher", "no_tls",
+    "timestamp", "tz_offset", "tz_changed", "prev_tz", "delta_seconds", "delta_display", "inferred_after", "footer",
+)
+
+
+def route_reports(hops: DataFrame, gateways: DataFrame | None = None) -> DataFrame:
+    """The reports on a message's way, out of all messages' hops at once; gateways as their findings name them."""
     one = lambda key, body, **more: make_report(key, body, **more)
     n = lambda c: F.col(c).cast("string")
     count = hops.groupBy("root_id", "node_id").agg(F.count("*").alias("n"))
@@ -176,7 +214,9 @@ def route_reports(hops: DataFrame) -> DataFrame:
     def add(rows: DataFrame, report) -> None:
         parts.append(_flat(rows, "EmailAnalyzer", F.array(report), 900))
 
-    add(count.join(hop_ops.route_text(hops), "node_id"), one("mail_route", F.col("route"), short=F.concat(n("n"), F.lit(" hop(s)")), label="mail_route", verbosity=1, content_type="application/x-hops"))
+    cells = F.array_sort(F.collect_list(F.struct(*HOP_CELLS)))
+    tables = hop_ops.display(hops, gateways).groupBy("node_id").agg(F.to_json(F.struct(cells.alias("hops"))).alias("table"))
+    add(count.join(hop_ops.route_text(hops), "node_id").join(tables, "node_id", "left"), one("mail_route", F.col("route"), short=F.concat(n("n"), F.lit(" hop(s)")), label="mail_route", verbosity=1, content_type="application/x-hops", data=F.col("table")))
     origin = count.join(hop_ops.origin(hops), "node_id")
     address = F.when(F.col("origin_ip").isNotNull() & (F.col("origin_ip") != F.col("origin_name")), F.concat(F.lit(" ("), "origin_ip", F.lit(")"))).otherwise("")
     add(origin, one("mail_origin", F.concat(F.lit("Origin: "), "origin_name", address, F.lit(" via "), n("n"), F.lit(" hop(s), "), "tls"), short=F.concat(F.lit("Origin: "), "origin_name"), label="origin", order=3))
@@ -206,8 +246,12 @@ def technique_reports(nodes: DataFrame, reports: DataFrame) -> DataFrame:
     return _flat(told, "Analyzer", F.array(make_report("mitre_attack", lines, short=F.array_join(F.transform("found", lambda x: x["id"]), ", "), label="mitre_attack", verbosity=1, order=91, data=F.to_json("found"))), 1002)
 
 
-def analyze(spark: SparkSession, source: str | DataFrame, flags: Flags | None = None) -> TriageResult:
-    """Triage of files: a path or glob (folders with all below), or a table with path, content and perhaps declared_mime."""
+def analyze(spark: SparkSession, source: str | DataFrame, flags: Flags | None = None, verdicts: DataFrame | None = None) -> TriageResult:
+    """Triage of files: a path or glob (folders with all below), or a table with path, content and perhaps declared_mime.
+
+    verdicts: what a reputation service says, as functions.reputation gives it; without it the service is asked, if the
+    flags allow that, for every content and for some indicators of each root.
+    """
     from siftwood.sources.files import read_files
 
     flags = flags or Flags.from_session(spark)
@@ -221,11 +265,17 @@ def analyze(spark: SparkSession, source: str | DataFrame, flags: Flags | None =
     nodes = store.save(nodes.join(done.select("node_id", "analyzer", F.col("info").alias("analyzer_info")), "node_id", "left").withColumn("analyzer", F.coalesce("analyzer", F.lit("Analyzer"))))
     hops = done.select("node_id", F.explode("hops").alias("h")).join(nodes.select("root_id", "node_id"), "node_id").select("root_id", "node_id", "h.*")
     hops = store.save(hop_ops.numbered(hops))
-    reports = store.save(_union([_raw_reports(nodes, done), final_reports(nodes, flags), route_reports(hops)]))
-    reports = store.save(reports.unionByName(technique_reports(nodes, reports)))
+    gateways = store.save(done.select("node_id", F.explode("gateways").alias("g")).select("node_id", "g.*"))
+    reports = store.save(_union([_raw_reports(nodes, done), final_reports(nodes, flags), route_reports(hops, gateways)]))
     texts = nodes.where("mime_type = 'text/plain'").withColumn("text", text.decoded(F.col("content"))["text"])
     found = iocs.long_indicators(texts, F.col("text"), "root_id", "node_id", "path")
-    return TriageResult(nodes, reports, found, hops, timeline_ops.from_reports(reports, nodes))
+    if verdicts is None:
+        asked = nodes.select(F.lit("file").alias("kind"), F.col("sha256").alias("value")).unionByName(reputation.budgeted(found, flags.max_lookups))
+        verdicts = store.save(reputation.lookups(asked, flags)) if reputation.allowed(flags) else spark.createDataFrame([], reputation.VERDICT)
+    known = reputation.verdict_reports(nodes, verdicts)
+    known = known.withColumn("seq", F.lit(1003)).withColumn("analyzer", F.lit("Analyzer")).select(reports.columns)
+    reports = store.save(_union([reports, technique_reports(nodes, reports), known]))
+    return TriageResult(nodes, reports, found, hops, timeline_ops.from_reports(reports, nodes), gateways, verdicts, store)
 
 
 def identity(result: TriageResult) -> DataFrame:

@@ -104,6 +104,33 @@ def _name(severity: int) -> str:
     return Severity(severity).name
 
 
+def _hops(report: dict) -> list[dict]:
+    """The hops of a route's report, oldest first."""
+    if report["content_type"] != "application/x-hops" or not report.get("data"):
+        return []
+    return json.loads(report["data"]).get("hops") or []
+
+
+HOP_HEADS = ("#", "Server", "From", "Proto", "TLS", "Timestamp", "Delta")
+
+
+def _hop_cells(hop: dict) -> tuple[str, ...]:
+    """The cells of one hop, as plain text."""
+    place = lambda name, ip: f"{name} [{ip}]" if ip and ip != name else name
+    notes = f" ({', '.join(hop['annotations'])})" if hop.get("annotations") else ""
+    zone = f" ({hop['prev_tz']} -> {hop['tz_offset']})" if hop.get("tz_changed") else ""
+    delta = hop.get("delta_display") or ""
+    late = delta if not delta or (hop.get("delta_seconds") or 0) < 0 else f"+{delta}"
+    return (
+        str(hop["hop"]), place(hop.get("by_hostname") or "", hop.get("by_ip")), place(hop.get("from_name") or "?", hop.get("from_ip")) + notes,
+        hop.get("protocol") or "", hop.get("tls") or hop.get("cipher") or ("NONE" if hop.get("no_tls") else ""), (hop.get("timestamp") or "") + zone, late,
+    )
+
+
+def _is_image(report: dict) -> bool:
+    return report["content_type"].startswith("image/") and bool(report.get("data"))
+
+
 def _ioc_lines(tree: dict) -> list[str]:
     found = tree.get("iocs") or {}
     sections = {"IPs": found.get("ipv4", []) + found.get("ipv6", []), "Domains": found.get("domains", []), "URLs": found.get("urls", []), "Emails": found.get("emails", []), "MD5": found.get("md5", []), "SHA1": found.get("sha1", []), "SHA256": found.get("sha256", [])}
@@ -134,12 +161,55 @@ def as_text(tree: dict) -> str:
 
 @renderer("rich")
 def as_rich(tree: dict) -> str:
-    """The text form under a panel with the identity, for terminals."""
+    """The text form under panels with the identity, the detections by severity, and authentication, for terminals."""
     i = tree["info"]
-    worst = min([r["severity"] for r in _all_reports(tree)], default=4)
+    every = list(_all_reports(tree))
+    worst = min([r["severity"] for r in every], default=4)
+    panels = []
+    for level in (0, 1, 2):
+        found = [r for r in every if r["severity"] == level]
+        if found:
+            panels.append((f"{_name(level)} ({len(found)})", [r["short"].splitlines()[0] if r["short"] else r["report_key"] for r in found]))
+    signed = [r["text"] for r in every if r["label"] in ("auth", "dmarc_align")]
+    panels += [("Authentication", signed)] if signed else []
+    properties = [line for r in every if r["label"] in ("metadata", "EXIF metadata", "exiftool") for line in r["text"].splitlines()]
+    panels += [("Metadata", properties)] if properties else []
+    told = _ioc_lines(tree)
+    panels += [("Indicators", told)] if told else []
     lines = [f"{k:<8}{i[k]}" for k in ("filename", "mime_type", "size", "md5", "sha1", "sha256")] + [f"{'worst':<8}{_name(worst)}"]
     wide = max(map(len, lines))
-    return "\n".join([f"╭{'─' * (wide + 2)}╮", *(f"│ {x:<{wide}} │" for x in lines), f"╰{'─' * (wide + 2)}╯", as_text(tree)])
+    head = [f"╭{'─' * (wide + 2)}╮", *(f"│ {x:<{wide}} │" for x in lines), f"╰{'─' * (wide + 2)}╯"]
+    return "\n".join([*head, *(line for title, body in panels for line in _panel(title, body)), as_text(tree)])
+
+
+def _panel(title: str, body: list[str], most: int = 96) -> list[str]:
+    cut = [x if len(x) <= most else x[: most - 1] + "…" for x in body]
+    wide = max(len(title) + 1, *map(len, cut))
+    return [f"╭─ {title} {'─' * (wide - len(title) - 1)}╮", *(f"│ {x:<{wide}} │" for x in cut), f"╰{'─' * (wide + 2)}╯"]
+
+
+@renderer("legacy")
+def as_legacy(tree: dict) -> str:
+    """The older text form: type, size and all three hashes of each node, texts wrapped at 100, branches drawn."""
+    import textwrap
+
+    out: list[str] = []
+
+    def walk(node: dict, lead: str, mark: str, inner: str) -> None:
+        i = node["info"]
+        out.append(f"{lead}{mark}{i['index']} >> {i['mime_type']} {i['size']}")
+        rows = [("info", i["analyzer_info"]), ("filename", i["filename"]), ("md5", i["md5"]), ("sha1", i["sha1"]), ("sha256", i["sha256"])]
+        out.extend(f"{inner}{k:<9}: {v or ''}" for k, v in rows if k != "filename" or v)
+        for r in node["reports"]:
+            body = f"[Image: {r['text'] or 'in the HTML report'}]" if _is_image(r) else r["text"]
+            lines = textwrap.wrap(body, 100, subsequent_indent="  ") or [""]
+            out.extend([f"{inner}{r['label']} : {lines[0]}", *(f"{inner}  {x}" for x in lines[1:])])
+        for k, child in enumerate(node["children"]):
+            last = k == len(node["children"]) - 1
+            walk(child, inner, "└── " if last else "├── ", inner + ("    " if last else "│   "))
+
+    walk(tree, "", "", "")
+    return "\n".join([*out, *_ioc_lines(tree)])
 
 
 def _all_reports(node: dict):
@@ -170,6 +240,18 @@ def as_markdown(tree: dict) -> str:
         out.extend([f"{'#' * min(depth, 6)} {escape_markdown(i['filename'])}", "", f"- type: {i['mime_type']}", f"- size: {i['size']}", f"- sha256: `{i['sha256']}`", ""])
         for r in node["reports"]:
             head = f"**{_name(r['severity'])}** {escape_markdown(r['label'] or r['report_key'])}"
+            hops = _hops(r)
+            if hops:
+                row = lambda cells: f"| {' | '.join(escape_markdown(c) for c in cells)} |"
+                out.extend([head, "", row(HOP_HEADS), "|" + "---|" * len(HOP_HEADS)])
+                for hop in hops:
+                    out.append(row(_hop_cells(hop)))
+                    out.extend(f"| ~ | *inferred: {escape_markdown(x['label'])}* |" + " |" * (len(HOP_HEADS) - 2) for x in hop.get("inferred_after") or [])
+                out.extend(["", *(escape_markdown(x["label"]) for x in hops[-1].get("footer") or []), ""])
+                continue
+            if _is_image(r):
+                out.extend([f"{head}: [image: {escape_markdown(r['text'])}]", ""])
+                continue
             out.extend([head, "", "```", r["text"], "```", ""] if "\n" in r["text"] else [f"{head}: {escape_markdown(r['text'])}", ""])
         for child in node["children"]:
             walk(child, depth + 1)
@@ -182,11 +264,28 @@ def as_markdown(tree: dict) -> str:
 COLOURS = {"CRITICAL": "#b00020", "HIGH": "#e65100", "MEDIUM": "#f9a825", "LOW": "#1565c0", "INFO": "#616161"}
 
 
+def _html_body(report: dict) -> str:
+    """A report's text, or its hops as a table, or its picture."""
+    hops = _hops(report)
+    if _is_image(report):
+        data = html.escape(json.loads(report["data"]) if report["data"].startswith('"') else report["data"])
+        return f'<br><img src="data:{html.escape(report["content_type"])};base64,{data}" alt="{html.escape(report["text"])}">'
+    if not hops:
+        return f"<pre>{html.escape(report['text'])}</pre>"
+    cell = lambda c: f"<td>{html.escape(c)}</td>"
+    lines = []
+    for hop in hops:
+        lines.append(f"<tr>{''.join(map(cell, _hop_cells(hop)))}</tr>")
+        lines += [f'<tr><td>~</td><td colspan="{len(HOP_HEADS) - 1}"><i>inferred: {html.escape(x["label"])}</i></td></tr>' for x in hop.get("inferred_after") or []]
+    feet = "".join(f"<p>{html.escape(x['label'])}</p>" for x in hops[-1].get("footer") or [])
+    return f"<table><tr>{''.join(f'<th>{h}</th>' for h in HOP_HEADS)}</tr>{''.join(lines)}</table>{feet}"
+
+
 @renderer("html")
 def as_html(tree: dict) -> str:
     def walk(node: dict) -> str:
         i = node["info"]
-        rows = "".join(f'<li style="color:{COLOURS[_name(r["severity"])]}"><b>{_name(r["severity"])}</b> {html.escape(r["label"] or r["report_key"])}<pre>{html.escape(r["text"])}</pre></li>' for r in node["reports"])
+        rows = "".join(f'<li style="color:{COLOURS[_name(r["severity"])]}"><b>{_name(r["severity"])}</b> {html.escape(r["label"] or r["report_key"])}{_html_body(r)}</li>' for r in node["reports"])
         return f"<details open><summary>{html.escape(i['filename'])} <code>{html.escape(i['mime_type'])}</code> {i['size']}</summary><ul>{rows}</ul>{''.join(map(walk, node['children']))}</details>"
 
     told = "".join(f"<li>{html.escape(x)}</li>" for x in _ioc_lines(tree))

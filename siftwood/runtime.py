@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import re
 import tempfile
 import uuid
@@ -40,6 +41,19 @@ def ship(spark: SparkSession) -> None:
     context._siftwood_shipped = True
 
 
+def setup_logging(spark: SparkSession, debug: bool = False, path: str | None = None) -> logging.Logger:
+    """The driver's log to the console, or to a file of the driver, and Spark's at the same level."""
+    log = logging.getLogger("siftwood")
+    log.setLevel(logging.DEBUG if debug else logging.WARNING)
+    for old in list(log.handlers):
+        log.removeHandler(old)
+    handler = logging.FileHandler(path) if path else logging.StreamHandler()
+    handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
+    log.addHandler(handler)
+    spark.sparkContext.setLogLevel("INFO" if debug else "WARN")
+    return log
+
+
 _own_folder: str | None = None
 
 

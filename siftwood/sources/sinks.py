@@ -53,6 +53,34 @@ def extract(nodes: DataFrame, folder: str, names: bool = False, numbered: bool =
     return extraction_plan(nodes, names, numbered).mapInArrow(write, "node_id string, target string, size long, written boolean")
 
 
+def mail_dump(files: DataFrame) -> DataFrame:
+    """(path, dump): a message file as text: its hashes, from, to, date and subject, and its parts as an indented list.
+
+    files: path and content.  A file that is no message has its hashes alone.
+    """
+    from siftwood.functions import mail
+
+    parsed = mail.parsed_mail(files, "path")
+    h = {k: v.alias(k) for k, v in content.hashes(F.col("content")).items()}
+    marked = files.select("path", *[h[k] for k in ("md5", "sha1", "sha256")])
+    said = lambda name, words: F.transform(F.filter("headers", lambda x: F.lower(x["name"]) == name), lambda x: F.concat(F.lit(words), F.array_join(x["decoded"], " ")))
+    line = lambda words, c: F.concat(F.lit(words), c)
+
+    def part(p):
+        indent = F.repeat(F.lit("    "), p["level"])
+        clip = F.contains(F.coalesce(p["disposition"], F.lit("")), F.lit("attachment"))
+        shown = F.concat(indent, F.rpad(p["part_index"].cast("string"), 4, "_"), p["content_type"], F.when(clip, F.lit(" (attachment)")).otherwise(F.lit("")))
+        rows = [F.when(p[c].isNotNull(), F.concat(indent, F.lit(f"    {c:<9}: "), p[c].cast("string"))) for c in ("filename", "md5", "sha1", "sha256")]
+        return F.concat(F.array(shown), F.array_compact(F.array(*rows)))
+
+    joined = marked.join(parsed, F.col("path") == F.col("node_id"), "left")
+    head = F.array(line("File   : ", F.col("path")), line("MD5    : ", F.col("md5")), line("SHA1   : ", F.col("sha1")), line("SHA256 : ", F.col("sha256")))
+    fields = F.flatten(F.array(said("from", "From   : "), said("to", "To     : "), said("date", "Date   : "), said("subject", "Subject: ")))
+    body = F.when(F.col("status") == "done", F.concat(fields, F.array(F.lit("Parts:")), F.flatten(F.transform("parts", part))))
+    none = F.array().cast("array<string>")
+    return joined.select("path", F.array_join(F.concat(head, F.coalesce(body, none)), "\n").alias("dump"))
+
+
 def mail_csv(summary: DataFrame) -> DataFrame:
     """(value): one quoted line for each message: file, subject, date, from, to."""
     q = lambda c: F.concat(F.lit('"'), F.coalesce(F.col(c).cast("string"), F.lit("None" if c == "date" else "")), F.lit('"'))

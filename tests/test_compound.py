@@ -2,7 +2,7 @@ import struct
 
 import pytest
 
-from siftwood.functions import compound
+from siftwood.functions import compound, exif
 from siftwood.functions.formats import EXPLOITED_CLASSES, File, class_bytes
 
 
@@ -104,6 +104,7 @@ def test_objects_of_the_first_version():
 
 @pytest.mark.parametrize("raw, expected", [(b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + struct.pack(">II", 1, 1), ("PNG", 1, 1)), (b"GIF89a" + struct.pack("<HH", 640, 480), ("GIF", 640, 480)), (b"\xff\xd8\xff\xe0\0\4ab\xff\xc0\0\x11\x08" + struct.pack(">HH", 20, 30), ("JPEG", 30, 20)), (b"nothing", None)])
 def test_dimensions(raw, expected):
-    assert compound.dimensions(raw) == expected
-    out = compound.image(File(raw, None, "image/png"))
+    found = exif.picture(raw)
+    assert (found and (found.format, found.width, found.height)) == expected
+    out = exif.image(File(raw, None, "image/png"))
     assert ("tracking_pixel" in {r["key"] for r in out.reports}) == (expected == ("PNG", 1, 1))

@@ -332,3 +332,97 @@ def test_passwords_and_archives_in_any_order(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     assert {(r.root_id, r.node_id, r.password, r.source_node_id) for r in found} == {("r", "z2", "second", "p1"), ("r", "z1", "first", "p2")}
+
+
+# --- whatever a file is -------------------------------------------------------------------------------------------
+
+
+def test_new_kinds_through_the_engine(spark, tmp_path):
+    """PDF, 7z, RAR, Outlook, macros, relationships, rules and verdicts, as one run sees them."""
+    from siftwood.functions import reputation
+    from tests import test_readers as made
+
+    rules = tmp_path / "rules"
+    rules.mkdir()
+    (rules / "a.yar").write_text('rule Found : tag { strings: $a = "deep text" condition: $a }')
+    files = {
+        "/in/a.7z": made.seven_zip({"doc.pdf": made.pdf_file(), "inner.txt": b"some deep text in here"}),
+        "/in/b.rar": made.rar_5([("vbaProject.bin", made.macro_file({"M": made.CODE}), 0, False)]),
+        "/in/c.msg": made.build(made.message_streams(), storages=("__recip_version1.0_#00000000", "__attach_version1.0_#00000000")),
+        "/in/d.rels": b'<?xml version="1.0"?><Relationships><Relationship Type="x/attachedTemplate" Target="http://evil.test" TargetMode="External"/></Relationships>',
+        "/in/e.docx": docx(parts={"word/comments/extra.xml": "<a>DDEAUTO x</a>"}),
+    }
+    import hashlib
+
+    digest = hashlib.sha256(files["/in/b.rar"]).hexdigest()
+    answer = json.dumps({"data": {"attributes": {"last_analysis_stats": {"malicious": 3, "harmless": 1}, "reputation": -5}}})
+    verdicts = spark.createDataFrame([{**reputation.verdict("file", digest, answer)}], reputation.VERDICT)
+    rows = [(p, bytearray(c)) for p, c in files.items()]
+    out = engine.analyze(spark, spark.createDataFrame(rows, "path string, content binary"), Flags(yara_rules_dir=str(rules)), verdicts)
+    kinds = {r.filename: r.analyzer for r in out.nodes.select("filename", "analyzer").collect()}
+    assert {kinds[k] for k in ("a.7z", "b.rar", "c.msg", "d.rels", "doc.pdf", "vbaProject.bin")} == {"SevenZipAnalyzer", "RARAnalyzer", "MsgAnalyzer", "OfficeRelationshipAnalyzer", "PDFAnalyzer", "VBAProjectAnalyzer"}
+    assert kinds["extra.xml"] == "OfficeXMLAnalyzer" and kinds["email_body.html"] == "HTMLAnalyzer"
+    told = {(r.node_id, r.report_key): r for r in out.reports.collect()}
+    assert told["/in/b.rar", "virustotal"].severity == 1 and told["/in/b.rar", "virustotal"].short == "VT 3 hit(s)"
+    assert told["/in/a.7z/#1", "yara"].text == "Found tags=tag" and told["/in/a.7z/#1", "fuzzy_hash"].text.startswith("ssdeep: 3:")
+    assert told["/in/d.rels", "external_link_0"].severity == 0 and ("/in/c.msg", "mail_route") in told
+    assert json.loads(told["/in/c.msg", "mail_route"].data)["hops"][0]["from_ip"] == "93.184.216.34"
+    page = next(r.rendered for r in render.render(out, "html", 1).collect() if r.root_id == "/in/c.msg")
+    marked = next(r.rendered for r in render.render(out, "markdown", 1).collect() if r.root_id == "/in/c.msg")
+    assert "<table><tr><th>#</th>" in page and "93.184.216.34" in page and "| \\# | Server |" in marked
+    out.drop()
+
+
+def test_verdicts_are_asked_only_where_allowed(spark):
+    from siftwood.functions import reputation
+
+    values = spark.createDataFrame([("file", "ab"), ("domain", "evil.test"), ("ip", "8.8.8.8"), ("file", "none"), ("file", "ab")], "kind string, value string")
+
+    def ask(url, key):
+        assert key == "key" and url.startswith("https://")
+        return None if url.endswith("none") else json.dumps({"data": {"attributes": {"last_analysis_stats": {"malicious": 1}, "country": "DE"}}}).encode()
+
+    assert reputation.lookups(values, Flags(), ask).count() == 0
+    found = {(r.kind, r.value): (r.malicious, r.country, r.permalink) for r in reputation.lookups(values, Flags(network_policy="online", vt_api_key="key"), ask).collect()}
+    assert set(found) == {("file", "ab"), ("domain", "evil.test"), ("ip", "8.8.8.8")}
+    assert found["ip", "8.8.8.8"] == (1, "DE", "https://www.virustotal.com/gui/ip-address/8.8.8.8") and reputation.verdict("file", "x", b"no json") is None
+
+
+def test_providers_and_late_registrations(spark):
+    from siftwood.functions import content
+
+    content.register_provider("mine", lambda raw, name: F.when(F.contains(name, F.lit("odd")), F.struct(F.lit("odd/kind").alias("mime"), F.lit("odd").alias("description"))))
+    rows = spark.createDataFrame([("odd.txt", bytearray(b"x y z")), ("a.txt", bytearray(b"x y z"))], "name string, raw binary")
+    seen = {r.name: (r.d.mime, r.d.provider) for r in rows.select("name", content.detected(F.col("raw"), F.col("name"), ("mine", "file", "extension")).alias("d")).collect()}
+    assert seen["odd.txt"] == ("odd/kind", "mine") and seen["a.txt"][0] == "text/plain"
+
+    def count(file, out):
+        out.tell("size", str(len(file.content)))
+
+    def fail(file, out):
+        raise ValueError("no luck")
+
+    analyzers.register_analyzer(analyzers.Analyzer("OddAnalyzer", 99, ("odd/kind",), analyzers.steps(count=count, fail=fail)))
+    try:
+        files = spark.createDataFrame([("/x", bytearray(b"12345"), "odd/kind")], "path string, content binary, declared_mime string")
+        got = {r.report_key: r.text for r in engine.analyze(spark, files).reports.collect()}
+        assert got["size"] == "5" and got["error_fail"] == "fail: no luck"
+    finally:
+        analyzers.REGISTRY.pop()
+
+
+def test_folders_of_images_archives_and_mail(spark, tmp_path):
+    from siftwood.sources import files as sources
+    from tests import test_readers as made
+
+    (tmp_path / "a.tif").write_bytes(made.tiff(made.FIELDS, made.GPS))
+    (tmp_path / "b.png").write_bytes(b"no image")
+    (tmp_path / "c.zip").write_bytes(archive({"x.txt": b"abc"}))
+    (tmp_path / "d.7z").write_bytes(made.seven_zip({"y.txt": b"abc"}))
+    (tmp_path / "e.eml").write_bytes(mail_with(("note.txt", "text/plain", b"some text")))
+    found = {r.path.rpartition("/")[2]: r for r in sources.read_exif(spark, str(tmp_path)).collect()}
+    assert found["a.tif"].exif["Make"] == "Maker" and found["a.tif"].gps["GPSLatitudeRef"] == "N" and found["b.png"].format is None and len(found) == 2
+    hashes = {(r.path.rpartition("/")[2], r.member): r.digest for r in sources.archive_hashes(spark, str(tmp_path), "md5").collect()}
+    assert hashes == {("c.zip", "x.txt"): "900150983cd24fb0d6963f7d28e17f72", ("d.7z", "y.txt"): "900150983cd24fb0d6963f7d28e17f72"}
+    dump = next(r.dump for r in sinks.mail_dump(read_files(spark, str(tmp_path), glob="*.eml")).collect())
+    assert "From   : Boss <boss@corp.example>" in dump and "Subject: Test" in dump and "note.txt" in dump and dump.startswith("File   : ")
