@@ -18,6 +18,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 from siftwood.functions import mail, scripts
+from siftwood.functions.text import PASSWORD_LINE, SHORTENERS, decode_bytes
 
 # Passwords that archives of samples commonly have.
 ARCHIVE_PASSWORDS = ("infected", "Infected", "iNFECTED", "INFECTED")
@@ -57,11 +58,11 @@ class File:
 def plain_text(file: File) -> Outcome:
     """Indicators and language are native passes over all texts; here is only how the bytes decode."""
     out = Outcome()
-    text, encoding = scripts.decode_text(file.content)
+    text, encoding = decode_bytes(file.content)
     out.tell("encoding", encoding, label="encoding", verbosity=1)
     out.tell("summary", text, short=text[:200], verbosity=1, order=60)
     found = []
-    for m in re.finditer(r"(?im)(?:pw|kennwort|passwor[dt]|password|passcode)\s*[:\-=\s]\s*(\S.*)", text):
+    for m in re.finditer(PASSWORD_LINE, text):
         found += [w for w in (x.strip().strip("\"'") for x in m[1].split()) if len(w) > 3]
     if found:
         out.tell("possible_passwords", "\n".join(dict.fromkeys(found)), 1, label="passwords")
@@ -266,13 +267,12 @@ def script(file: File) -> Outcome:
     out = Outcome()
     source, _ = scripts.decode_text(file.content)
     lib = next((name for p, name in scripts.LIBRARIES if re.search(p, source[:2000])), None)
-    name = (file.filename or "").lower()
     coded = scripts.decode_encoded_script(file.content)
-    kind = "JScript Encoded" if coded is not None or name.endswith(".jse") else "HTML Application" if name.endswith(".hta") else f"JavaScript library: {lib}" if lib else "JavaScript"
+    kind = scripts.kind_of(file.filename, coded is not None, lib)
     out.info = kind
     out.tell("script_type", kind, label="script_type")
     m = scripts.measure(source)
-    points, signs = score(m, source, lib)
+    points, signs = scripts.score(m, source, lib)
     level = next(s for s, least in enumerate((81, 61, 41, 21, 0)) if points >= least)
     names = ("critical", "high", "medium", "low", "info")
     out.tell("obfuscation", f"Obfuscation score: {points}/100 ({names[level]})" + "".join(f"\n  {s}" for s in signs), level, short=f"Obfuscation score {points}", label="obfuscation", data=m)
@@ -328,27 +328,6 @@ def rescan(out: Outcome, source: str, words: str, known: list[dict]) -> None:
     out.hold("deobfuscated.js", source.encode(), "text/plain")
 
 
-def score(m: dict, source: str, lib: str | None) -> tuple[int, list[str]]:
-    """The points and signs of obfuscation, as scripts.obfuscation has them for columns."""
-    rules = (
-        (m["max_line_length"] > 5000, 15, f"Very long line ({m['max_line_length']} chars)"),
-        (m["comment_ratio"] < 0.01 and m["max_line_length"] > 500 and m["total_length"] > 500, 10, "No comments with long lines"),
-        (m["string_literal_ratio"] > 0.60, 15, f"High string literal ratio ({m['string_literal_ratio']:.0%})"),
-        (m["hex_escape_count"] > 20, 15, f"Heavy hex escapes ({m['hex_escape_count']})"),
-        (m["from_char_code_count"] > 3, 15, f"Frequent fromCharCode ({m['from_char_code_count']} calls)"),
-        (m["eval_count"] > 2, 10, f"Multiple eval() calls ({m['eval_count']})"),
-        (m["single_char_identifier_ratio"] > 0.50 and m["total_length"] > 500, 10, f"High single-char identifier ratio ({m['single_char_identifier_ratio']:.0%})"),
-        (re.search(scripts.JSFUCK, source), 40, "JSFuck pattern detected"),
-        (re.search(scripts.JJENCODE, source), 40, "JJEncode pattern detected"),
-        (re.search(scripts.AAENCODE, source), 40, "AAEncode pattern detected"),
-    )
-    points = sum(n for holds, n, _ in rules if holds)
-    signs = [words for holds, _, words in rules if holds]
-    if lib:
-        points, signs = max(0, points - 15), [*signs, f"Known library detected: {lib}"]
-    return min(points, 100), signs
-
-
 # --- rich text and calendars --------------------------------------------------------------------------------------
 
 # Control words, signs of obfuscation, class ids by their first four bytes.
@@ -452,7 +431,6 @@ PHISHING = (
     r"unusual\s+(?:sign.in|activity|login)",
     r"confirm\s+(?:your\s+)?identity",
 )
-SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff.ly", "rebrand.ly", "cutt.ly")
 
 
 def calendar(file: File) -> Outcome:
@@ -540,15 +518,15 @@ def external(kind: str, target: str) -> tuple[str, int]:
     """What a relationship to the outside means, and how bad it is."""
     lower, last = target.lower(), kind.rpartition("/")[2]
     cases = (
-        ("attachedTemplate" in kind, f"Remote Template Injection detected. Target: {target}", 0),
-        (lower.startswith("mhtml:"), f"MHTML scheme in external reference — possible CVE-2021-40444 vector. Target: {target}", 0),
-        (lower.startswith("ms-msdt:"), f"ms-msdt: protocol handler — Follina exploit (CVE-2022-30190). Target: {target}", 0),
-        (target.startswith(("file://", "\\\\")), f"Potential NTLM hash leak via file/UNC path. Target: {target}", 0),
-        ("altChunk" in kind, f"External altChunk can import external content. Target: {target}", 1),
-        ("oleObject" in kind, f"External OLE object link (possible CVE-2017-0199). Target: {target}", 0),
-        (last in ("frame", "subDocument"), f"External {last} — can load remote content. Target: {target}", 1),
+        ("attachedTemplate" in kind, f"A template is loaded from outside: {target}", 0),
+        (lower.startswith("mhtml:"), f"Outside reference by mhtml:, as used for CVE-2021-40444: {target}", 0),
+        (lower.startswith("ms-msdt:"), f"Outside reference by ms-msdt:, as used for CVE-2022-30190 (Follina): {target}", 0),
+        (target.startswith(("file://", "\\\\")), f"Outside reference to a file share, which may give away NTLM hashes: {target}", 0),
+        ("altChunk" in kind, f"A chunk of another document is imported from outside: {target}", 1),
+        ("oleObject" in kind, f"An OLE object is linked from outside, as used for CVE-2017-0199: {target}", 0),
+        (last in ("frame", "subDocument"), f"A {last} is loaded from outside: {target}", 1),
     )
-    return next(((words, level) for holds, words, level in cases if holds), (f"External link of type '{last}'. Target: {target}", 1))
+    return next(((words, level) for holds, words, level in cases if holds), (f"Link of kind {last} to the outside: {target}", 1))
 
 
 def xml_depth(root) -> int:
@@ -598,18 +576,18 @@ def office_package(file: File) -> Outcome:
         if name.lower().endswith(".svg"):
             text = raw.decode("utf-8", "ignore")
             if re.search(r"(?i)<script[\s>]", text):
-                out.tell(f"svg_script_{name}", f"SVG file contains <script> tag (SVG smuggling): {name}", 0)
+                out.tell(f"svg_script_{name}", f"A script stands in the SVG part {name}", 0)
             if re.search(r"(?i)\bon\w+\s*=", text):
-                out.tell(f"svg_event_{name}", f"SVG file contains event handler attributes: {name}", 1)
+                out.tell(f"svg_event_{name}", f"Event handlers stand in the SVG part {name}", 1)
         binary = ("/embeddings/" in name or "/activeX/" in name) and not name.endswith((".xml", ".rels", "/"))
         if binary:
             hit = next(((c, d) for c, d in EXPLOITED_CLASSES.items() if class_bytes(c) in raw), None)
             if hit:
-                out.tell(f"embedded_clsid_{name}", f"Dangerous CLSID in {name}: {hit[1]} ({hit[0]})", 0)
+                out.tell(f"embedded_clsid_{name}", f"{name} holds the class id of {hit[1]}: {hit[0]}", 0)
         infrastructure = name.endswith((".rels", "/")) or "/_rels/" in name or name.startswith(("_rels/", "docProps/")) or name == "[Content_Types].xml"
         orphan = not infrastructure and name.replace("\\", "/").lstrip("/") not in targets
         if orphan:
-            out.tell(f"orphan_{name}", f"Unreferenced file (orphan): {name}", 2)
+            out.tell(f"orphan_{name}", f"No relationship names the part {name}", 2)
         if "vbaProject.bin" in name:
             out.tell("vba_macros", f"VBA project: {name}", 0, label="vba_macros")
             _macros(out, name, raw)
@@ -684,7 +662,7 @@ def _types(out: Outcome, parts: dict[str, bytes], filename: str) -> None:
     raw = parts.get("[Content_Types].xml")
     root = parsed(raw) if raw else None
     if raw and (b"<!DOCTYPE" in raw or b"<!ENTITY" in raw):
-        out.tell("content_types_xxe", "DOCTYPE or ENTITY declaration in [Content_Types].xml — possible XXE or XML bomb", 0)
+        out.tell("content_types_xxe", "[Content_Types].xml declares a document type or entities, which may be XXE or an XML bomb", 0)
     if root is None:
         return
     told, extensions = defaultdict(list), set()
@@ -695,20 +673,20 @@ def _types(out: Outcome, parts: dict[str, bytes], filename: str) -> None:
             extensions.add(e.get("Extension", "").lower())
     every = [e.get("ContentType", "") for e in root]
     if any("vbaProject" in t or "macroenabled" in t.lower() for t in every) and filename.endswith(NO_MACROS):
-        out.tell("content_type_mismatch", f"VBA/macro content type found in non-macro extension ({filename}). File may have been renamed to bypass security controls.", 0)
+        out.tell("content_type_mismatch", f"Parts with macros in a file whose name says that it has none ({filename}); it may have been renamed", 0)
     phantom = [p for p in told if p.lstrip("/") not in parts]
     if phantom:
-        out.tell("phantom_content_parts", f"Content_Types declares parts not in archive: {', '.join(phantom[:10])}", 2)
+        out.tell("phantom_content_parts", f"Types are declared for parts that are not there: {', '.join(phantom[:10])}", 2)
     stated = {p.lstrip("/") for p in told}
     silent = [n for n in parts if not n.endswith(("/", ".rels")) and n != "[Content_Types].xml" and n not in stated and n.rpartition(".")[2].lower() not in extensions]
     if silent:
-        out.tell("undeclared_parts", f"ZIP entries with no Content_Types declaration: {', '.join(silent[:10])}", 2)
+        out.tell("undeclared_parts", f"Parts without a declared type: {', '.join(silent[:10])}", 2)
     torn = {p: t for p, t in told.items() if len(set(t)) > 1}
     if torn:
-        out.tell("content_type_conflict", "Conflicting Content_Type overrides: " + "; ".join(f"{p}: {', '.join(t)}" for p, t in torn.items()), 1)
+        out.tell("content_type_conflict", "Parts with several types: " + "; ".join(f"{p}: {', '.join(t)}" for p, t in torn.items()), 1)
     odd = [f"{p}: {t}" for p, ts in told.items() for t in ts if not t.startswith(TYPE_PREFIXES)]
     if odd:
-        out.tell("unusual_content_type", f"Non-standard content types: {'; '.join(odd[:10])}", 3)
+        out.tell("unusual_content_type", f"Types that are not usual here: {'; '.join(odd[:10])}", 3)
 
 
 def _relations(out: Outcome, parts: dict[str, bytes]) -> set[str]:
@@ -727,10 +705,10 @@ def _relations(out: Outcome, parts: dict[str, bytes]) -> set[str]:
                 targets.add(target.lstrip("/") if target.startswith("/") else posixpath.normpath(posixpath.join(folder, target)))
     missing = sorted(t for t in targets if t not in parts)
     if missing:
-        out.tell("dangling_references", f"Relationship targets not found in archive: {', '.join(missing[:10])}", 2)
+        out.tell("dangling_references", f"Relationships name parts that are not there: {', '.join(missing[:10])}", 2)
     odd = sorted(k for k in kinds if k and not k.startswith(RELATION_PREFIXES))
     if odd:
-        out.tell("nonstandard_rel_type", f"Non-standard relationship types: {'; '.join(odd[:10])}", 3)
+        out.tell("nonstandard_rel_type", f"Relationships of unusual kinds: {'; '.join(odd[:10])}", 3)
     return targets
 
 
@@ -741,14 +719,14 @@ def _content(out: Outcome, name: str, raw: bytes) -> None:
         shown = line.strip()[:120]
         if "<!ENTITY" in line:
             entities += 1
-            out.tell(f"xxe_{name}_{k}", f"Potential XXE injection in {name} line {k}: {shown}", 0)
+            out.tell(f"xxe_{name}_{k}", f"An entity is declared in {name}, line {k}: {shown}", 0)
         if "<!DOCTYPE" in line:
-            out.tell(f"doctype_{name}_{k}", f"DOCTYPE declaration in {name} — not expected in OOXML", 1)
+            out.tell(f"doctype_{name}_{k}", f"{name} declares a document type, which these packages do not need", 1)
         field_ = re.search(r"(?i)\b(DDEAUTO|DDE)\b", line)
         if field_:
-            out.tell(f"dde_{name}_{k}", f"Suspicious string ({'DDE Auto-execution' if len(field_[1]) > 3 else 'DDE field'}) in {name} line {k}: {shown}", 0)
+            out.tell(f"dde_{name}_{k}", f"{'A DDE field that runs by itself' if len(field_[1]) > 3 else 'A DDE field'} in {name}, line {k}: {shown}", 0)
     if entities > 3:
-        out.tell(f"xml_bomb_{name}", f"Possible XML bomb (Billion Laughs) in {name}: {entities} entity definitions found", 0)
+        out.tell(f"xml_bomb_{name}", f"{name} defines {entities} entities, which may be an XML bomb", 0)
     root = None if entities else parsed(raw)
     if root is not None:
         for tag, words in (("subDoc", "Sub-document inclusion"), ("control", "ActiveX Control")):
@@ -756,19 +734,19 @@ def _content(out: Outcome, name: str, raw: bytes) -> None:
                 out.tell(f"tag_{name}_w:{tag}", f"Suspicious tag 'w:{tag}' ({words}) found in {name}.", 1)
         depth = xml_depth(root)
         if depth > 50:
-            out.tell(f"deep_nesting_{name}", f"Excessive XML nesting depth ({depth} levels) in {name} — possible parser confusion attack", 2)
+            out.tell(f"deep_nesting_{name}", f"Elements in {name} are nested {depth} deep", 2)
         alternatives = len(root.findall(f".//{COMPATIBILITY}AlternateContent"))
         if alternatives > 10:
-            out.tell(f"mc_heavy_{name}", f"{alternatives} mc:AlternateContent elements in {name} — may hide content from parsers", 2)
+            out.tell(f"mc_heavy_{name}", f"{name} has {alternatives} alternatives of content, which may hide some", 2)
     custom = "customXml" in name
     blob = re.search(r"[A-Za-z0-9+/=]{%d,}" % (50 if custom else 500), text)
     if blob and custom:
-        out.tell(f"customxml_payload_{name}", f"Potentially encoded payload in {name}. Excerpt: {blob[0][:75]}...", 1)
+        out.tell(f"customxml_payload_{name}", f"{name} holds what may be an encoded payload: {blob[0][:75]}...", 1)
     elif blob:
-        out.tell(f"large_blob_{name}", f"Large base64-like blob ({len(blob[0])} chars) in {name}. Excerpt: {blob[0][:75]}...", 2)
+        out.tell(f"large_blob_{name}", f"{name} holds {len(blob[0])} characters that look like base64: {blob[0][:75]}...", 2)
     for url in re.findall(r'(?:href|Target)\s*=\s*"([^"]+)"', text):
         proto = next((p for p in PROTOCOLS if url.lower().startswith(p)), None)
         if proto:
-            out.tell(f"hyperlink_abuse_{name}_{proto}", f"Dangerous hyperlink protocol ({PROTOCOLS[proto]}): {url[:200]}", 0)
+            out.tell(f"hyperlink_abuse_{name}_{proto}", f"A link by {proto} ({PROTOCOLS[proto]}): {url[:200]}", 0)
         if url.lower().startswith("file://") and "!" in url:
-            out.tell(f"monikerlink_{name}", f"MonikerLink attack (CVE-2024-21413): file:// URL with '!' bypasses Protected View. URL: {url[:200]}", 0)
+            out.tell(f"monikerlink_{name}", f"A file link with an exclamation mark, as used for CVE-2024-21413: {url[:200]}", 0)

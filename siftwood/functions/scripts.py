@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import base64
 import binascii
+import math
 import re
 import string
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -70,10 +72,10 @@ FRAGMENTED = (
     "Shell.Application", "Schedule.Service", "ActiveXObject",
 )
 KEYWORDS = (
-    "var let const function return if else for while do switch case break continue new this typeof instanceof in of try "
-    "catch finally throw delete void true false null undefined class extends super import export default from async await "
-    "yield with debugger"
-).split()
+    "var", "let", "const", "function", "return", "if", "else", "for", "while", "do", "switch", "case", "break", "continue", "new", "this", "typeof",
+    "instanceof", "in", "of", "try", "catch", "finally", "throw", "delete", "void", "true", "false", "null", "undefined", "class", "extends", "super",
+    "import", "export", "default", "from", "async", "await", "yield", "with", "debugger",
+)
 HEX_ESCAPE = r"\\x([0-9a-fA-F]{2})"
 UNICODE_ESCAPE = r"\\u([0-9a-fA-F]{4})"
 UNICODE_BRACE = r"\\u\{([0-9a-fA-F]{1,6})\}"
@@ -140,15 +142,23 @@ def fragmented_apis(source: Column) -> Column:
     return F.array_compact(F.array(*[F.when(hidden(a), F.lit(a)) for a in FRAGMENTED]))
 
 
+#: Kinds of scripts by what their names end in.
+NAMED_KINDS = ((".jse", "JScript Encoded"), (".hta", "HTML Application"), (".wsf", "Windows Script File"))
+LIBRARY_KIND, PLAIN_KIND = "JavaScript library: {}", "JavaScript"
+
+
 def script_type(filename: Column, source: Column) -> Column:
     lower, lib = F.lower(F.coalesce(filename, F.lit(""))), library(source)
-    return (
-        F.when(F.contains(source, F.lit("#@~^")) | lower.endswith(".jse"), F.lit("JScript Encoded"))
-        .when(lower.endswith(".hta"), F.lit("HTML Application"))
-        .when(lower.endswith(".wsf"), F.lit("Windows Script File"))
-        .when(lib.isNotNull(), F.concat(F.lit("JavaScript library: "), lib))
-        .otherwise(F.lit("JavaScript"))
-    )
+    kind = F.when(F.contains(source, F.lit("#@~^")), F.lit(NAMED_KINDS[0][1]))
+    for ending, name in NAMED_KINDS:
+        kind = kind.when(lower.endswith(ending), F.lit(name))
+    return kind.when(lib.isNotNull(), F.replace(F.lit(LIBRARY_KIND), F.lit("{}"), lib)).otherwise(F.lit(PLAIN_KIND))
+
+
+def kind_of(filename: str | None, encoded: bool, lib: str | None) -> str:
+    """The same for one script."""
+    by_name = next((name for ending, name in NAMED_KINDS if (filename or "").lower().endswith(ending)), None)
+    return NAMED_KINDS[0][1] if encoded else by_name or (LIBRARY_KIND.format(lib) if lib else PLAIN_KIND)
 
 
 def base64_severity(raw: Column) -> Column:
@@ -284,30 +294,69 @@ def decoded_base64(source: pd.Series) -> pd.Series:
     return source.map(lambda s: [{"blob": b, "raw": r} for b, r in base64_blobs(scan(s or "")[2])])
 
 
+@dataclass(frozen=True)
+class Sign:
+    """A sign of obfuscation: a metric above or below a bound, where the other least values hold too; its points and
+    what is told of it, with the metric's value."""
+
+    metric: str
+    points: int
+    words: str
+    above: float | None = None
+    below: float | None = None
+    least: tuple[tuple[str, int], ...] = ()
+    share: bool = False
+
+
+# Bounds and points.
+SIGNS = (
+    Sign("max_line_length", 15, "The longest line has {} characters", above=5000),
+    Sign("comment_ratio", 10, "Long lines and hardly a comment", below=0.01, least=(("max_line_length", 500), ("total_length", 500))),
+    Sign("string_literal_ratio", 15, "String literals make up {} of the source", above=0.60, share=True),
+    Sign("hex_escape_count", 15, "{} hexadecimal escapes", above=20),
+    Sign("from_char_code_count", 15, "fromCharCode is called {} times", above=3),
+    Sign("eval_count", 10, "eval is called {} times", above=2),
+    Sign("single_char_identifier_ratio", 10, "Single letters make up {} of the identifiers", above=0.50, least=(("total_length", 500),), share=True),
+)
+ENCODINGS = ((JSFUCK, "JSFuck"), (JJENCODE, "JJEncode"), (AAENCODE, "AAEncode"))
+ENCODING_POINTS, LIBRARY_POINTS = 40, -15
+ENCODED, KNOWN = "Written in {}", "Part of a known library: {}"
+
+
 def obfuscation(m: Column, source: Column) -> Column:
     """(score, indicators) from metrics and source; the score is 0 to 100."""
-    percent = lambda c: F.concat(F.format_string("%.0f", c * 100), F.lit("%"))
-    rules = (
-        (m["max_line_length"] > 5000, 15, F.concat(F.lit("Very long line ("), m["max_line_length"].cast("string"), F.lit(" chars)"))),
-        ((m["comment_ratio"] < 0.01) & (m["max_line_length"] > 500) & (m["total_length"] > 500), 10, F.lit("No comments with long lines")),
-        (m["string_literal_ratio"] > 0.60, 15, F.concat(F.lit("High string literal ratio ("), percent(m["string_literal_ratio"]), F.lit(")"))),
-        (m["hex_escape_count"] > 20, 15, F.concat(F.lit("Heavy hex escapes ("), m["hex_escape_count"].cast("string"), F.lit(")"))),
-        (m["from_char_code_count"] > 3, 15, F.concat(F.lit("Frequent fromCharCode ("), m["from_char_code_count"].cast("string"), F.lit(" calls)"))),
-        (m["eval_count"] > 2, 10, F.concat(F.lit("Multiple eval() calls ("), m["eval_count"].cast("string"), F.lit(")"))),
-        ((m["single_char_identifier_ratio"] > 0.50) & (m["total_length"] > 500), 10, F.concat(F.lit("High single-char identifier ratio ("), percent(m["single_char_identifier_ratio"]), F.lit(")"))),
-        (source.rlike(JSFUCK), 40, F.lit("JSFuck pattern detected")),
-        (source.rlike(JJENCODE), 40, F.lit("JJEncode pattern detected")),
-        (source.rlike(AAENCODE), 40, F.lit("AAEncode pattern detected")),
-    )
+    rules = []
+    for sign in SIGNS:
+        value = m[sign.metric]
+        holds = value > sign.above if sign.above is not None else value < sign.below
+        for metric, least in sign.least:
+            holds = holds & (m[metric] > least)
+        shown = F.concat(F.floor(value * 100 + 0.5).cast("string"), F.lit("%")) if sign.share else value.cast("string")
+        rules.append((holds, sign.points, F.replace(F.lit(sign.words), F.lit("{}"), shown)))
+    rules += [(source.rlike(form), ENCODING_POINTS, F.lit(ENCODED.format(name))) for form, name in ENCODINGS]
     points = F.lit(0)
     for holds, n, _ in rules:
         points = points + F.when(holds, n).otherwise(0)
     known = library(source)
-    points = F.when(known.isNotNull(), F.greatest(points - 15, F.lit(0))).otherwise(points)
-    words = F.array_compact(F.array(*[F.when(h, w) for h, _, w in rules], F.concat(F.lit("Known library detected: "), known)))
+    points = F.when(known.isNotNull(), F.greatest(points + LIBRARY_POINTS, F.lit(0))).otherwise(points)
+    words = F.array_compact(F.array(*[F.when(h, w) for h, _, w in rules], F.replace(F.lit(KNOWN), F.lit("{}"), known)))
     return F.struct(F.least(points, F.lit(100)).alias("score"), words.alias("indicators"))
 
 
+def score(m: dict, source: str, lib: str | None) -> tuple[int, list[str]]:
+    """The same for one source."""
+    found = []
+    for sign in SIGNS:
+        value = m[sign.metric]
+        if (value > sign.above if sign.above is not None else value < sign.below) and all(m[k] > least for k, least in sign.least):
+            found.append((sign.points, sign.words.format(f"{math.floor(value * 100 + 0.5)}%" if sign.share else value)))
+    found += [(ENCODING_POINTS, ENCODED.format(name)) for form, name in ENCODINGS if re.search(form, source)]
+    points, signs = sum(n for n, _ in found), [words for _, words in found]
+    if lib:
+        points, signs = max(0, points + LIBRARY_POINTS), [*signs, KNOWN.format(lib)]
+    return min(points, 100), signs
+
+
 def score_severity(score: Column) -> Column:
     return F.when(score >= 81, 0).when(score >= 61, 1).when(score >= 41, 2).when(score >= 21, 3).otherwise(4)
 

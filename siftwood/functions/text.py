@@ -20,12 +20,45 @@ SHORTENERS = ("bit.ly", "tinyurl.com", "t.co", "goo.gl", "ow.ly", "is.gd", "buff
 LEAST_TEXT = 10
 
 
+#: Byte-order marks and what they say.
+MARKS = (("EFBBBF", "UTF-8", "utf-8"), ("FFFE", "UTF-16LE", "utf-16-le"), ("FEFF", "UTF-16BE", "utf-16-be"))
+#: What Windows-1252 has in place of control characters; its five gaps stay as they are.
+_CONTROLS = "".join(map(chr, range(0x80, 0xA0)))
+_WINDOWS = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+
+
 def decoded(content: Column) -> Column:
-    """(text, encoding): UTF-8 where valid, else Windows-1252."""
+    """(text, encoding): by a byte-order mark, else UTF-8 where valid, else Windows-1252."""
+    head, said = F.hex(F.substring(content, 1, 3)), None
+    made = lambda text, name: F.struct(text.alias("text"), F.lit(name).alias("encoding"))
     utf8 = F.try_validate_utf8(content.cast("string"))
-    return F.when(utf8.isNotNull(), F.struct(utf8.alias("text"), F.lit("utf-8").alias("encoding"))).otherwise(
-        F.struct(F.decode(content, "windows-1252").alias("text"), F.lit("windows-1252").alias("encoding"))
-    )
+    for mark, charset, name in MARKS:
+        n = len(mark) // 2
+        rest = F.substring(content, n + 1, 1 << 30)
+        if n == 3:
+            holds, text = head.startswith(mark) & F.try_validate_utf8(rest.cast("string")).isNotNull(), rest.cast("string")
+        else:  # whole pairs of bytes only
+            holds, text = head.startswith(mark) & (F.octet_length(content) % 2 == 0) & ~F.hex(rest).rlike("^(....)*D[89A-F]" if charset == "UTF-16BE" else "^(....)*..D[89A-F]"), F.decode(rest, charset)
+        said = F.when(holds, made(text, name)) if said is None else said.when(holds, made(text, name))
+    single = F.translate(F.decode(content, "ISO-8859-1"), _CONTROLS, _WINDOWS)
+    return said.when(utf8.isNotNull(), made(utf8, "utf-8")).otherwise(made(single, "windows-1252"))
+
+
+def decode_bytes(raw: bytes) -> tuple[str, str]:
+    """The same for one text."""
+    for mark, _, name in MARKS:
+        head = bytes.fromhex(mark)
+        if raw.startswith(head):
+            try:
+                text = raw[len(head) :].decode(name)
+                if name == "utf-8" or all(ord(c) < 0x10000 for c in text):
+                    return text, name
+            except UnicodeDecodeError:
+                pass
+    try:
+        return raw.decode("utf-8"), "utf-8"
+    except UnicodeDecodeError:
+        return raw.decode("latin-1").translate(dict(zip(map(ord, _CONTROLS), _WINDOWS))), "windows-1252"
 
 
 def language(text: Column) -> Column:

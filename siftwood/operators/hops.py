@@ -56,9 +56,9 @@ def latency_anomalies(hops: DataFrame, node: str = "node_id") -> DataFrame:
     way = F.concat(F.lit("Hop "), F.col("hop").cast("string"), F.lit(" -> "), (F.col("hop") + 1).cast("string"), F.lit(": "))
     s = F.col("delta_seconds").cast("string")
     words = (
-        F.when(F.col("type") == "possible_forgery", F.concat(way, s, F.lit("s (large negative delta — possible header forgery)")))
-        .when(F.col("type") == "clock_skew", F.concat(way, s, F.lit("s clock skew")))
-        .otherwise(F.concat(way, F.floor(F.col("delta_seconds") / 3600).cast("string"), F.lit("h delay (queued/held message)")))
+        F.when(F.col("type") == "possible_forgery", F.concat(way, s, F.lit("s, so far back that headers may be forged")))
+        .when(F.col("type") == "clock_skew", F.concat(way, s, F.lit("s, clocks disagree")))
+        .otherwise(F.concat(way, F.floor(F.col("delta_seconds") / 3600).cast("string"), F.lit("h until the next hop")))
     )
     return found.select(node, "hop", "type", "delta_seconds", words.alias("description"))
 
@@ -108,7 +108,7 @@ def chain_breaks(hops: DataFrame, node: str = "node_id") -> DataFrame:
         | ((by != "") & (name != "") & (label(by) == label(name)))
     )
     n = F.col("hop_no")
-    words = F.concat(F.lit("Chain break between hop "), n.cast("string"), F.lit(" ("), F.col("__by"), F.lit(") and hop "), (n + 1).cast("string"), F.lit(" ("), F.col("__to"), F.lit(")"))
+    words = F.concat(F.lit("Hop "), n.cast("string"), F.lit(" ended at "), F.col("__by"), F.lit(", but hop "), (n + 1).cast("string"), F.lit(" began at "), F.col("__to"))
     first = F.coalesce(F.nullif(F.col("by_hostname"), F.lit("")), F.col("by_ip"))
     return rows.where(~same).select(node, n.alias("after_hop"), (n + 1).alias("before_hop"), first.alias("from_by"), F.col("__to").alias("to_from"), words.alias("description"))
 

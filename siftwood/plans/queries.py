@@ -102,9 +102,22 @@ def ioc_public_ipv4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("i.ipv4").alias("value"))
 
 
-@query(IOCS_SQL + "SELECT doc_id, value FROM iocs WHERE kind='domains'")
+#: Texts with names of hosts behind them: one of a mail address, one of a URL, one that is skipped, one too short, two to keep.
+_HOSTED_SQL = """SELECT doc_id, source, text || ' write to a@mail' || doc_id % 7 || '.example.org, see http://www.shop' || doc_id % 5 || '.example.net/x, mail' || doc_id % 7 ||
+'.example.org www.shop' || doc_id % 5 || '.example.net schemas.microsoft.com ab.com host' || doc_id % 11 || '.example.com HOST' || doc_id % 11 || '.example.com files.corp.example.de' AS text FROM documents"""
+
+
+def _hosted() -> F.Column:
+    k = lambda n: (F.col("doc_id") % n).cast("string")
+    return F.concat(
+        "text", F.lit(" write to a@mail"), k(7), F.lit(".example.org, see http://www.shop"), k(5), F.lit(".example.net/x, mail"), k(7), F.lit(".example.org www.shop"), k(5),
+        F.lit(".example.net schemas.microsoft.com ab.com host"), k(11), F.lit(".example.com HOST"), k(11), F.lit(".example.com files.corp.example.de"),
+    )
+
+
+@query(IOCS_SQL.replace("FROM documents)", "FROM hosted)").replace("WITH raw AS", f"WITH hosted AS ({_HOSTED_SQL}), raw AS") + "SELECT doc_id, value FROM iocs WHERE kind='domains'")
 def ioc_domains_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = t(spark, sf_dir, "documents").select("doc_id", iocs.indicators(F.col("text")).alias("i"))
+    found = t(spark, sf_dir, "documents").select("doc_id", iocs.indicators(_hosted()).alias("i"))
     return found.select("doc_id", F.explode("i.domains").alias("value"))
 
 
@@ -165,10 +178,12 @@ def first_seen_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.first_seen(nodes, "sha256", "doc_id")
 
 
-@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b WHERE md5(b.text) = md5(d.text)) AND d.source <> 'src0'")
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM documents b JOIN labels USING (doc_id) WHERE md5(b.text) = md5(d.text))")
 def unseen_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = t(spark, sf_dir, "benchmark").select(F.md5("text").alias("md5"))
-    return rules.unseen(t(spark, sf_dir, "documents").where("source <> 'src0'").withColumn("md5", F.md5("text")), seen, "md5").select("doc_id")
+    """Documents whose content no labelled document has."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"))
+    seen = docs.join(t(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id").select("md5")
+    return rules.unseen(docs, seen, "md5").select("doc_id")
 
 
 _ENTROPY_SQL = """
@@ -467,12 +482,30 @@ def hops_without_tls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hops.without_tls(_hops(spark, sf_dir)).select("node_id", "hop_no", "place")
 
 
-@query()
+_FROM, _BY = "coalesce(nullif(from_name,''), nullif(from_hostname,''), nullif(from_ip,''), nullif(from_ipv6,''), '?')", "coalesce(nullif(by_hostname,''), nullif(by_ip,''), '?')"
+_DELTA_TEXT = """CASE WHEN {d} IS NULL THEN '' WHEN {d} < 0 THEN {d} || 's SKEW' WHEN {d} < 60 THEN {d} || 's' WHEN {d} < 3600 THEN {d} // 60 || 'm' || {d} % 60 || 's' ELSE {d} // 3600 || 'h' || {d} % 3600 // 60 || 'm' END"""
+
+
+@query(
+    _HOPS_SQL
+    + f""", d AS (SELECT *, {_FROM} AS f, {_BY} AS b, {_DELTA} AS s, from_ip LIKE '10.%' AS inside, coalesce(known_tz <> tz_offset AND tz_offset <> '', false) AS moved FROM l),
+e AS (SELECT *, rtrim(lower(f), '.') = rtrim(lower(b), '.') AS loop FROM d)
+SELECT node_id, CAST(hop_no AS INTEGER) AS hop, b AS by_hostname, by_ip, f AS from_name, coalesce(nullif(from_ip,''), nullif(from_ipv6,''), '') AS from_ip, '' AS protocol, tls, '' AS cipher, '' AS server_type,
+rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S') || ' ' || tz_offset) AS timestamp, s AS delta_seconds, {_DELTA_TEXT.format(d="s")} AS delta_display, tz_offset, moved AS tz_changed, CASE WHEN moved THEN known_tz ELSE '' END AS prev_tz,
+tls = '' AND f <> '?' AND NOT loop AS no_tls, inside AS is_internal, concat_ws(',', CASE WHEN inside THEN 'internal' END, CASE WHEN loop THEN 'self-loop' END) AS annotations, '' AS authenticated_sender FROM e"""
+)
 def hop_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hops.display(_hops(spark, sf_dir)).withColumn("annotations", F.array_join("annotations", ",")).drop("inferred_after", "footer")
 
 
-@query()
+@query(
+    _HOPS_SQL
+    + f""", d AS (SELECT *, {_FROM} AS f, {_BY} AS b, {_SECONDS.format(a="ts", b="after")} AS s, from_ip LIKE '10.%' AS inside FROM l),
+t AS (SELECT node_id, hop_no, '  ' || hop_no || '. ' || f || CASE WHEN from_ip <> '' AND from_ip <> f THEN ' [' || from_ip || ']' ELSE '' END || ' -> ' || b || CASE WHEN by_ip <> '' AND by_ip <> b THEN ' [' || by_ip || ']' ELSE '' END
+|| CASE WHEN tls <> '' THEN ' TLS:' || tls ELSE '' END || CASE WHEN inside THEN ' (internal)' ELSE '' END || CASE WHEN s IS NOT NULL THEN '  (' || {_DELTA_TEXT.format(d="s")} || ')' ELSE '' END
+|| '  [' || strftime(ts, '%Y-%m-%d %H:%M:%S') || regexp_replace(tz_offset, '(\\d\\d)(\\d\\d)$', '\\1:\\2') || ']' AS line FROM d)
+SELECT node_id, string_agg(line, chr(10) ORDER BY hop_no) AS route FROM t GROUP BY node_id"""
+)
 def mail_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hops.route_text(_hops(spark, sf_dir))
 
@@ -565,7 +598,12 @@ def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", "lang", text.language(F.col("text")).alias("guess"))
 
 
-@query()
+@query(
+    f"""WITH m AS (SELECT doc_id, text || chr(10) || 'Passwort: "geheim' || doc_id || '" bitte nicht' || chr(10) AS text FROM documents),
+l AS (SELECT doc_id, unnest(regexp_extract_all(text, {quoted(text.PASSWORD_LINE)}, 1)) AS rest FROM m),
+w AS (SELECT doc_id, trim(trim(trim(unnest(regexp_split_to_array(rest, '\\s+'))), {quoted(chr(34) + chr(39))})) AS password FROM l)
+SELECT DISTINCT doc_id, password FROM w WHERE length(password) > 3"""
+)
 def password_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = F.concat("text", F.lit("\nPasswort: \"geheim"), F.col("doc_id").cast("string"), F.lit("\" bitte nicht\n"))
     return t(spark, sf_dir, "documents").select("doc_id", F.explode(text.possible_passwords(made)).alias("password"))
@@ -574,17 +612,18 @@ def password_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- joins, guards, counters --------------------------------------------------------------------------------------
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)")
 def orphan_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers stand for parts, orders for relationships."""
-    refs = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers stand for parts, events for relationships."""
+    refs = t(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
     return rules.orphans(t(spark, sf_dir, "customer").select("c_custkey"), refs, ["c_custkey"])
 
 
-@query("SELECT event_id, user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)")
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = o_custkey)")
 def dangling_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"))
-    return rules.dangling(t(spark, sf_dir, "events").select("event_id", "user_id"), parts, ["user_id"])
+    """Users with events stand for parts, orders for relationships."""
+    parts = t(spark, sf_dir, "events").select(F.col("user_id").alias("o_custkey"))
+    return rules.dangling(t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), parts, ["o_custkey"])
 
 
 @query("SELECT p_brand, list_sort(list(DISTINCT p_type)) AS types FROM part GROUP BY p_brand HAVING count(DISTINCT p_type) > 1")
@@ -613,10 +652,11 @@ def kv_increments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.increment(t(spark, sf_dir, "events").withColumn("updated_at", F.col("ts")), "user_id", "event_type")
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, {'t': ts, 'v': event_type}) AS value FROM events WHERE event_type <> 'error' GROUP BY user_id")
+@query("SELECT CAST(user_id AS VARCHAR) AS key, arg_max(event_type, {'t': ts, 'v': event_type}) AS value FROM events GROUP BY user_id")
 def kv_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "events").where("event_type <> 'error'").select(F.lit("last").alias("namespace"), F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("ts").alias("updated_at"))
-    return rules.upsert(rows.limit(0), rows).select("key", "value")
+    """Each user's last event: all errors are in the table first, and all events replace them where they are later."""
+    rows = t(spark, sf_dir, "events").select(F.lit("last").alias("namespace"), F.col("user_id").cast("string").alias("key"), F.col("event_type").alias("value"), F.col("ts").alias("updated_at"))
+    return rules.upsert(rows.where("value = 'error'"), rows).select("key", "value")
 
 
 @query(
@@ -635,20 +675,42 @@ def reply_to_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("reply_domain <> from_domain")
 
 
+#: What nodes made of documents are called, analysed by, labelled, say and are; together they reach every rule.
+_MADE = {
+    "analyzer": ("ScriptAnalyzer", "PlainTextAnalyzer", "VBAProjectAnalyzer"),
+    "filename": ("a.js", "b.ps1", "c.vbs", "d.bat", "e.txt", "F.HTA", "g.wsf"),
+    "label": ("remote_template", "encryption", "macros_found", "entropy", "has_vba"),
+    "behaviour": (
+        "Registry Run key and rundll32.exe", "HTTP download cradle; Obfuscation score 90 (high)", "PowerShell invocation, then schtasks", "cmd.exe invocation by mshta",
+        "an ingress tool transfer", "registry only", "nothing", "Obfuscation score 10 (info)",
+    ),
+    "script_type": ("", "JavaScript library", "PowerShell", "VBScript", "HTML Application", "JScript", "x", "y", "z", "a", "b"),
+}
+_RULES_SQL = (
+    ("T1221", "label = 'remote_template'"),
+    ("T1204.002", "label IN ('macros_found', 'vba_macros', 'has_vba', 'vba_analysis') OR analyzer = 'VBAProjectAnalyzer'"),
+    ("T1027.013", "label = 'encryption'"),
+    ("T1059.007", "script AND (regexp_matches(name, '\\.(js|jse|hta)$') OR regexp_matches(kind, 'javascript|html application'))"),
+    ("T1059.001", "script AND (regexp_matches(name, '\\.(ps1|psm1)$') OR contains(kind, 'powershell') OR contains(b, 'powershell invocation'))"),
+    ("T1059.005", "script AND (regexp_matches(name, '\\.(vbs|vbe|wsf|wsh)$') OR contains(kind, 'vbscript'))"),
+    ("T1059.003", "script AND (regexp_matches(name, '\\.(bat|cmd)$') OR contains(b, 'cmd.exe invocation'))"),
+    ("T1105", "contains(b, 'download cradle') OR contains(b, 'ingress tool transfer')"),
+    ("T1027", "contains(b, 'obfuscation score') AND (contains(b, 'high') OR contains(b, 'critical'))"),
+    ("T1547.001", "contains(b, 'registry') AND contains(b, 'run')"),
+    ("T1053", "contains(b, 'scheduled task') OR contains(b, 'schtasks')"),
+    ("T1218.005", "contains(b, 'mshta')"),
+    ("T1218.011", "contains(b, 'rundll32')"),
+)
+
+
 @query(
-    """WITH d AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'ScriptAnalyzer' ELSE 'PlainTextAnalyzer' END AS analyzer, CASE doc_id % 4 WHEN 0 THEN 'a.js' WHEN 1 THEN 'b.ps1' ELSE 'c.txt' END AS filename,
-CASE doc_id % 3 WHEN 0 THEN 'registry and rundll32' WHEN 1 THEN 'HTTP download cradle; Obfuscation score 90 (high)' ELSE 'nothing' END AS b FROM documents)
-SELECT doc_id, concat_ws(',', CASE WHEN analyzer='ScriptAnalyzer' AND filename='a.js' THEN 'T1059.007' END, CASE WHEN analyzer='ScriptAnalyzer' AND filename='b.ps1' THEN 'T1059.001' END,
-CASE WHEN b LIKE '%cradle%' THEN 'T1105' END, CASE WHEN b LIKE '%score%' THEN 'T1027' END, CASE WHEN b LIKE '%registry%' THEN 'T1547.001' END, CASE WHEN b LIKE '%rundll32%' THEN 'T1218.011' END) AS techniques FROM d"""
+    "WITH d AS (SELECT doc_id, " + ", ".join(f"CASE doc_id % {len(v)} " + " ".join(f"WHEN {k} THEN {quoted(x)}" for k, x in enumerate(v)) + f" END AS {n}" for n, v in _MADE.items()) + " FROM documents), "
+    "n AS (SELECT doc_id, analyzer, label, analyzer = 'ScriptAnalyzer' AS script, lower(filename) AS name, lower(behaviour) AS b, lower(script_type) AS kind FROM d) "
+    "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN {holds} THEN '{i}' END" for i, holds in _RULES_SQL) + ") AS techniques FROM n"
 )
 def attack_techniques(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
-    ids = rules.techniques(
-        F.when(k % 4 == 0, "a.js").when(k % 4 == 1, "b.ps1").otherwise("c.txt"), F.when(k % 5 == 0, "ScriptAnalyzer").otherwise("PlainTextAnalyzer"),
-        F.array().cast("array<string>"),
-        F.when(k % 3 == 0, "registry and rundll32").when(k % 3 == 1, "HTTP download cradle; Obfuscation score 90 (high)").otherwise("nothing"),
-        F.lit(""),
-    )
+    made = {n: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col("doc_id") % len(v) + 1).cast("int")) for n, v in _MADE.items()}
+    ids = rules.techniques(made["filename"], made["analyzer"], F.array(made["label"]), made["behaviour"], made["script_type"])
     return t(spark, sf_dir, "documents").select("doc_id", F.array_join(ids, ",").alias("techniques"))
 
 
@@ -663,14 +725,14 @@ def contained_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS happened, source, event, details FROM (SELECT ts, 'user ' || user_id AS source, event_type AS event, '' AS details FROM events WHERE event_type IN ('error','purchase')
+    """SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS happened, source, event, details FROM (SELECT ts, 'user ' || user_id AS source, event_type AS event, '' AS details FROM events
 UNION ALL SELECT o_orderdate, 'customer ' || o_custkey, 'order', o_orderpriority FROM orders)"""
 )
 def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siftwood.operators.timeline import timeline
 
     s = lambda c: F.col(c).cast("string")
-    events = t(spark, sf_dir, "events").where("event_type in ('error','purchase')").select("ts", F.concat(F.lit("user "), s("user_id")).alias("source"), F.col("event_type").alias("event"), F.lit("").alias("details"))
+    events = t(spark, sf_dir, "events").select("ts", F.concat(F.lit("user "), s("user_id")).alias("source"), F.col("event_type").alias("event"), F.lit("").alias("details"))
     orders = t(spark, sf_dir, "orders").select(F.col("o_orderdate").alias("ts"), F.concat(F.lit("customer "), s("o_custkey")).alias("source"), F.lit("order").alias("event"), F.col("o_orderpriority").alias("details"))
     return timeline(events, orders).select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("happened"), "source", "event", "details")
 
@@ -678,3 +740,196 @@ def timeline_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2")
 def hourly_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "events").groupBy("event_type", F.window("ts", "1 hour")["start"].alias("hour")).agg(F.count("*").alias("n"))
+
+
+# --- mail, names, types, verdicts ---------------------------------------------------------------------------------
+
+_MAILS_SQL = """SELECT c_custkey AS node_id, 'About ' || c_name AS subject, CASE WHEN c_custkey % 3 > 0 THEN 'Mon, ' || c_custkey END AS date, c_name || ' <' || lower(c_mktsegment) || '@corp.example>' AS "from",
+CASE c_custkey % 4 WHEN 0 THEN 'Boss <BOSS@corp.example>, boss@corp.example' WHEN 1 THEN 'a@corp.example, "b@corp.example" <evil@other.example>' WHEN 2 THEN c_name ELSE lower(c_mktsegment) || '@x.example' END AS "to" FROM customer"""
+
+
+def _mails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as messages."""
+    k = F.col("c_custkey")
+    segment = F.lower("c_mktsegment")
+    to = (
+        F.when(k % 4 == 0, "Boss <BOSS@corp.example>, boss@corp.example").when(k % 4 == 1, 'a@corp.example, "b@corp.example" <evil@other.example>')
+        .when(k % 4 == 2, F.col("c_name")).otherwise(F.concat(segment, F.lit("@x.example")))
+    )
+    return t(spark, sf_dir, "customer").select(
+        k.alias("node_id"), F.concat(F.lit("About "), "c_name").alias("subject"), F.when(k % 3 > 0, F.concat(F.lit("Mon, "), k.cast("string"))).alias("date"),
+        F.concat("c_name", F.lit(" <"), segment, F.lit("@corp.example>")).alias("from"), to.alias("to"),
+    )
+
+
+@query(f"""WITH m AS ({_MAILS_SQL}) SELECT '"' || node_id || '","' || subject || '","' || coalesce(date, 'None') || '","' || "from" || '","' || "to" || '"' AS value FROM m""")
+def mail_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.sources.sinks import mail_csv
+
+    return mail_csv(_mails(spark, sf_dir))
+
+
+_CLEAN = "trim(regexp_replace(replace({}, ';', ','), '\\s+', ' ', 'g'))"
+
+
+@query(
+    _HOPS_SQL
+    + f"""SELECT concat_ws(';', node_id, strftime(ts, '%Y-%m-%d %H:%M:%S'), {_CLEAN.format("from_name")}, {_CLEAN.format("from_ip")}, {_CLEAN.format("by_hostname || ' ;  via'")}, '', pos) AS value FROM h"""
+)
+def hop_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.sources.sinks import hop_csv
+
+    rows = _hops(spark, sf_dir).withColumns({"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "by_hostname": F.concat("by_hostname", F.lit(" ;  via")), "id": F.col("pos")})
+    return hop_csv(rows)
+
+
+_ADDRESSES = r"[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{2,}"
+
+
+def _from_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mails(spark, sf_dir).select("node_id", F.lit("From").alias("name"), F.col("to").alias("raw"))
+
+
+@query(f"""WITH m AS ({_MAILS_SQL}) SELECT DISTINCT unnest(regexp_extract_all(lower("to"), {quoted(_ADDRESSES)})) AS sender FROM m""")
+def sender_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.sources.sinks import senders
+
+    return senders(_from_headers(spark, sf_dir))[0]
+
+
+@query(f"""WITH m AS ({_MAILS_SQL}), a AS (SELECT node_id, regexp_extract_all(lower("to"), {quoted(_ADDRESSES)}) AS found FROM m) SELECT node_id, array_to_string(found, ',') AS addresses FROM a WHERE len(list_distinct(found)) > 1""")
+def spoofed_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siftwood.sources.sinks import senders
+
+    return senders(_from_headers(spark, sf_dir))[1].select("node_id", F.array_join("addresses", ",").alias("addresses"))
+
+
+_AUTH_SQL = """SELECT c_custkey, 'mx' || c_custkey % 9 || '.example; spf=' || CASE c_custkey % 3 WHEN 0 THEN 'Pass (ok by ' || c_name || ')' WHEN 1 THEN 'softfail' ELSE 'none' END || ' smtp.mailfrom=a@' || lower(c_mktsegment) || '.example;'
+|| CASE WHEN c_custkey % 2 = 0 THEN ' dkim=pass header.d=Corp.example;' ELSE '' END || ' dmarc = fail (p=none) header.from=corp.example' AS header FROM customer"""
+
+
+@query(
+    f"""WITH h AS ({_AUTH_SQL}) SELECT c_custkey, trim(split_part(header, ';', 1)) AS authserv_id,
+"""
+    + ", ".join(
+        f"lower(nullif(regexp_extract(header, '(?i){m}\\s*=\\s*(\\w+)', 1), '')) AS {m}, trim(nullif(regexp_extract(header, '(?i){m}\\s*=\\s*\\w+\\s*(\\([^)]+\\))', 1), ''), '()') AS {m}_detail" for m in ("spf", "dkim", "dmarc")
+    )
+    + """, nullif(regexp_extract(header, '(?i)header\\.from\\s*=\\s*([\\w.\\-@]+)', 1), '') AS header_from, nullif(regexp_extract(header, '(?i)smtp\\.mailfrom\\s*=\\s*([\\w.\\-@]+)', 1), '') AS smtp_mailfrom,
+nullif(regexp_extract(header, '(?i)header\\.d\\s*=\\s*([\\w.\\-]+)', 1), '') AS dkim_domain FROM h"""
+)
+def auth_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authentication-Results lines made of customers, as columns."""
+    from siftwood.functions.mail import auth_results
+
+    k, s = F.col("c_custkey"), lambda c: c.cast("string")
+    spf = F.when(k % 3 == 0, F.concat(F.lit("Pass (ok by "), "c_name", F.lit(")"))).when(k % 3 == 1, "softfail").otherwise("none")
+    header = F.concat(
+        F.lit("mx"), s(k % 9), F.lit(".example; spf="), spf, F.lit(" smtp.mailfrom=a@"), F.lower("c_mktsegment"), F.lit(".example;"),
+        F.when(k % 2 == 0, " dkim=pass header.d=Corp.example;").otherwise(""), F.lit(" dmarc = fail (p=none) header.from=corp.example"),
+    )
+    names = ("authserv_id", *(f"{m}{x}" for m in ("spf", "dkim", "dmarc") for x in ("", "_detail")), "header_from", "smtp_mailfrom", "dkim_domain")
+    rows = t(spark, sf_dir, "customer").select("c_custkey", header.alias("header"))
+    found = auth_results(F.col("header"))
+    return rows.select("c_custkey", *[found[n].alias(n) for n in names])
+
+
+@query(
+    """SELECT doc_id, repeat('children/', CAST(doc_id % 3 AS INTEGER)) || CASE WHEN doc_id % 5 > 0 THEN regexp_replace(regexp_replace('a b' || doc_id || '?*.txt', '[ <>|:!&*?/]', '_', 'g'), '_+', '_', 'g') ELSE left(md5(text), 8) || '.txt' END AS named,
+repeat('children/', CAST(doc_id % 3 AS INTEGER)) || md5(text) || '.txt' AS hashed FROM documents"""
+)
+def extraction_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each document would be extracted to, by its name and by its hash."""
+    from siftwood.sources.sinks import extraction_plan
+
+    k = F.col("doc_id")
+    name = F.when(k % 5 > 0, F.concat(F.lit("a b"), k.cast("string"), F.lit("?*.txt")))
+    nodes = t(spark, sf_dir, "documents").select(k.alias("node_id"), name.alias("filename"), F.md5("text").alias("md5"), F.lit("text/plain").alias("magic_mime"), F.lit(0).alias("idx"), (k % 3).cast("int").alias("level"), F.lit(None).cast("binary").alias("content"))
+    named, hashed = (extraction_plan(nodes, names=n).select("node_id", "target") for n in (True, False))
+    return named.join(hashed.withColumnRenamed("target", "hashed"), "node_id").select(F.col("node_id").alias("doc_id"), F.col("target").alias("named"), "hashed")
+
+
+@query(
+    """
+WITH d AS (SELECT doc_id, encode(text) AS raw, octet_length(encode(text)) AS size FROM documents WHERE octet_length(encode(text)) >= 1024),
+p AS (SELECT doc_id, hex(raw) AS h, least(64, size // 1024) AS n, size // least(64, size // 1024) AS block FROM d),
+k AS (SELECT doc_id, h, block, unnest(range(n)) AS i FROM p),
+b AS (SELECT doc_id, i, block, unnest(regexp_extract_all(substr(h, 2*i*block+1, 2*block), '..')) AS byte FROM k),
+c AS (SELECT doc_id, i, block, byte, count(*) AS n FROM b GROUP BY ALL),
+e AS (SELECT doc_id, i, -sum(n/block*log2(n/block)) AS entropy FROM c GROUP BY doc_id, i)
+SELECT doc_id, string_agg(substr(' ░▒▓█', CAST(least(trunc(entropy / 8 * 4), 4) AS INTEGER) + 1, 1), '' ORDER BY i) AS map FROM e GROUP BY doc_id
+"""
+)
+def entropy_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select("doc_id", content.block_entropy(F.col("text").cast("binary")).alias("blocks"))
+    return docs.where(F.size("blocks") > 0).select("doc_id", content.entropy_map(F.col("blocks")).alias("map"))
+
+
+@query(
+    """SELECT page_id, declared, magic, declared IS NOT NULL AND declared <> magic AS mismatch FROM (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'application/pdf' END AS declared,
+CASE WHEN regexp_matches(html, '(?i)^\\s*BEGIN:VCALENDAR') THEN 'text/calendar' WHEN regexp_matches(html, '(?i)^\\s*(<!doctype\\s+html|<html[\\s>])') THEN 'text/html' WHEN regexp_matches(html, '(?i)^\\s*<\\?xml') THEN 'text/xml' ELSE 'text/plain' END AS magic FROM pages)"""
+)
+def type_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    rows = t(spark, sf_dir, "pages").select(
+        "page_id", F.when(k % 3 == 0, "text/html").when(k % 3 == 1, "application/pdf").alias("declared"),
+        content.detected(F.col("html").cast("binary"), F.lit(None).cast("string"))["mime"].alias("magic"),
+    )
+    return rows.withColumn("mismatch", content.type_mismatch(F.col("declared"), F.col("magic")))
+
+
+@query(
+    """WITH v AS (SELECT sha256(text) AS sha256, max(CASE WHEN toxic = 1 THEN 3 ELSE 0 END) AS malicious, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS suspicious FROM documents JOIN labels USING (doc_id) GROUP BY 1)
+SELECT doc_id, 'VT ' || (malicious + suspicious) || ' hit(s)' AS short, CASE WHEN malicious + suspicious > 0 THEN 1 ELSE 4 END AS severity, 'VirusTotal: malicious=' || malicious || ', suspicious=' || suspicious || ', harmless=7, undetected=0' AS text
+FROM documents d JOIN v ON v.sha256 = sha256(d.text)"""
+)
+def verdict_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a table of verdicts, made of labels, says of every document's content."""
+    from siftwood.functions import reputation
+
+    docs = t(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"))
+    made = docs.join(t(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("sha256").alias("value")).agg(
+        F.max(F.when(F.col("toxic") == 1, 3).otherwise(0)).alias("malicious"), F.max(F.when(F.col("quality") == 0, 1).otherwise(0)).alias("suspicious")
+    )
+    verdicts = made.select(F.lit("file").alias("kind"), "value", "malicious", "suspicious", F.lit(7).alias("harmless"), F.lit(0).alias("undetected"))
+    nodes = docs.select(F.lit("r").alias("root_id"), F.col("doc_id").alias("node_id"), "sha256")
+    return reputation.verdict_reports(nodes, verdicts).select(F.col("node_id").alias("doc_id"), "short", "severity", "text")
+
+
+@query(
+    """WITH e AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, min(ts) AS begun, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, session"""
+)
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of a user's events without a gap of half an hour, by the streaming plan over a whole table."""
+    from siftwood.streaming.events import sessions
+
+    return sessions(t(spark, sf_dir, "events")).select("user_id", F.col("session_window.start").alias("begun"), F.col("session_window.end").alias("ended"), "n")
+
+
+@query(
+    """WITH s AS (SELECT event_type, unnest([time_bucket(INTERVAL 15 MINUTE, ts), time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 30 MINUTE, time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 45 MINUTE]) AS begun FROM events)
+SELECT event_type, begun, count(*) AS n FROM s GROUP BY event_type, begun"""
+)
+def sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of an hour, every quarter of an hour, by the streaming plan over a whole table."""
+    from siftwood.streaming.events import windowed_counts
+
+    return windowed_counts(t(spark, sf_dir, "events"), "1 hour", slide="15 minutes").select("event_type", F.col("window.start").alias("begun"), "n")
+
+
+@query(
+    """WITH m AS (SELECT doc_id, md5(text) AS m FROM documents), g AS (SELECT doc_id, '{' || substr(m,1,8) || '-' || substr(m,9,4) || '-' || substr(m,13,4) || '-' || substr(m,17,4) || '-' || substr(m,21) || '}' AS guid, upper(m) AS m FROM m)
+SELECT doc_id, guid, substr(m,7,2) || substr(m,5,2) || substr(m,3,2) || substr(m,1,2) || substr(m,11,2) || substr(m,9,2) || substr(m,15,2) || substr(m,13,2) || substr(m,17) AS bytes FROM g"""
+)
+def guid_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.md5("text")
+    guid = F.concat(F.lit("{"), F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit("}"))
+    rows = t(spark, sf_dir, "documents").select("doc_id", guid.alias("guid"))
+    return rows.select("doc_id", "guid", F.hex(content.guid_bytes(F.col("guid"))).alias("bytes"))
+
+
+@query("SELECT page_id, len(regexp_extract_all(html, '[\\x20-\\x7E]{6,}')) AS runs, array_to_string(regexp_extract_all(html, '[\\x20-\\x7E]{6,}'), '|') AS strings FROM pages")
+def printable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = t(spark, sf_dir, "pages").select("page_id", content.printable_strings(F.col("html").cast("binary")).alias("s"))
+    return rows.select("page_id", F.size("s").cast("long").alias("runs"), F.array_join("s", "|").alias("strings"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,26 +28,30 @@ def extraction_plan(nodes: DataFrame, names: bool = False, numbered: bool = Fals
 def extract(nodes: DataFrame, folder: str, names: bool = False, numbered: bool = False) -> DataFrame:
     """Writes each node's bytes below a folder that all machines share; gives (node_id, target, size, written).
 
-    A file is written beside its place and renamed, so a repeated task leaves one whole file.
+    The folder is a path, or an address of any store that Arrow's file systems reach (file, hdfs, s3, gs).  A file is
+    written beside its place and moved, so a repeated task leaves one whole file.
     """
 
     def write(batches: Iterator) -> Iterator:
         import os
-        import uuid
+        import posixpath
 
         import pyarrow as pa
+        from pyarrow import fs
 
+        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), os.path.abspath(folder.removeprefix("file:")))
+        base = posixpath.normpath(base)
         for batch in batches:
             done = []
             for target, raw in zip(batch.column("target").to_pylist(), batch.column("content").to_pylist()):
-                path = os.path.normpath(os.path.join(folder, target))
-                ok = path.startswith(os.path.normpath(folder) + os.sep)
+                path = posixpath.normpath(posixpath.join(base, target))
+                ok = path.startswith(base + "/")
                 if ok:
-                    os.makedirs(os.path.dirname(path), exist_ok=True)
+                    store.create_dir(posixpath.dirname(path), recursive=True)
                     staged = f"{path}.{uuid.uuid4().hex}"
-                    with open(staged, "wb") as out:
+                    with store.open_output_stream(staged) as out:
                         out.write(raw or b"")
-                    os.replace(staged, path)
+                    store.move(staged, path)
                 done.append(ok)
             size = pa.array([len(r or b"") for r in batch.column("content").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("node_id"), batch.column("target"), size, pa.array(done, pa.bool_())], names=["node_id", "target", "size", "written"])
@@ -103,43 +109,78 @@ def senders(mail_headers: DataFrame) -> tuple[DataFrame, DataFrame]:
 class KeyValueStore:
     """Namespaced JSON values with counters, below a folder that all machines share.
 
-    Each change writes a new version and then renames a pointer to it, so readers see whole versions only; versions
-    that cannot be read count as empty.
+    A change is a table of its own, written under a unique name and renamed into place, so writers never meet and
+    readers see whole changes only.  What holds of a key is its latest row, by time and then by change.  `compact` folds
+    changes into one table with a list of what it stands for; deletions do so too.  Folded tables go at the next fold, so
+    that readers which began before it come to their end.  A table that cannot be read fails the read, unless lenient:
+    then it counts as empty.
     """
 
     SCHEMA = "namespace string, key string, value string, updated_at timestamp"
+    STORED = SCHEMA + ", change string"
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, lenient: bool = False):
+        self.spark, self.path, self.lenient = spark, path.rstrip("/"), lenient
         self._jvm = spark.sparkContext._jvm
         self._fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
-    def _versions(self) -> list[str]:
-        if not self._fs.exists(self._at("")):
-            return []
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("")) if s.getPath().getName().startswith("v"))
+    def _names(self, kind: str) -> list[str]:
+        folder = self._at(kind)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(folder)) if self._fs.exists(folder) else []
+
+    def _live(self) -> tuple[list[str], list[str]]:
+        """(paths that count, names that the newest fold stands for)."""
+        folds = self._names("folds")
+        gone = [r["name"] for r in self.spark.read.schema("name string").json(f"{self.path}/ledgers/{folds[-1]}").collect()] if folds else []
+        changes = [f"{self.path}/changes/{n}" for n in self._names("changes") if n not in set(gone)]
+        return changes + [f"{self.path}/folds/{n}" for n in folds[-1:]], gone
+
+    def _rows(self, paths: list[str]) -> DataFrame:
+        if not paths:
+            return self.spark.createDataFrame([], self.STORED)
+        return self.spark.read.schema(self.STORED).option("ignoreCorruptFiles", str(self.lenient).lower()).parquet(*paths)
 
     def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).option("mode", "DROPMALFORMED").json(f"{self.path}/{versions[-1]}")
-
-    def _write(self, rows: DataFrame) -> None:
-        n = int(self._versions()[-1][1:]) + 1 if self._versions() else 0
-        rows.write.mode("overwrite").json(f"{self.path}/staged")
-        if not self._fs.rename(self._at("staged"), self._at(f"v{n:09d}")):
-            raise RuntimeError("another writer was faster")
-        for old in self._versions()[:-2]:
-            self._fs.delete(self._at(old), True)
+        return self._latest(self._rows(self._live()[0])).drop("change")
 
-    def set(self, rows: DataFrame) -> None:
-        from siftwood.operators.rules import upsert
+    @staticmethod
+    def _latest(rows: DataFrame) -> DataFrame:
+        last = F.max_by(F.struct("value", "updated_at", "change"), F.struct("updated_at", "change", "value"))
+        return rows.groupBy("namespace", "key").agg(last.alias("x")).select("namespace", "key", "x.value", "x.updated_at", "x.change")
 
-        self._write(upsert(self.read(), rows))
+    def _place(self, rows: DataFrame, kind: str, name: str) -> None:
+        staged = f"staged/{name}"
+        rows.write.parquet(f"{self.path}/{staged}")
+        self._fs.mkdirs(self._at(kind))
+        if not self._fs.rename(self._at(staged), self._at(f"{kind}/{name}")):
+            raise RuntimeError(f"{name} could not be renamed into place")
+
+    @staticmethod
+    def _name() -> str:
+        return f"{time.time_ns():020d}-{uuid.uuid4().hex}"
+
+    def set(self, rows: DataFrame) -> None:
+        name = self._name()
+        named = rows.select("namespace", "key", "value", "updated_at", F.lit(name).alias("change"))
+        self._place(self._latest(named), "changes", name)
+
+    def compact(self, keep=None) -> None:
+        """Folds what counts into one table; keep: a function of the rows that says which stay."""
+        paths, gone = self._live()
+        rows = self._latest(self._rows(paths))
+        name, names = self._name(), [p.rpartition("/")[2] for p in paths]
+        ledger = self.spark.createDataFrame([(n,) for n in names], "name string")
+        ledger.write.json(f"{self.path}/ledgers/{name}")
+        older = self._names("folds")
+        self._place(keep(rows) if keep else rows, "folds", name)
+        for n in gone:  # what the fold before this one stood for
+            self._fs.delete(self._at(f"changes/{n}"), True)
+        for n in older[:-1]:
+            self._fs.delete(self._at(f"folds/{n}"), True)
+            self._fs.delete(self._at(f"ledgers/{n}"), True)
 
     def get(self, namespace: str, key: str, default: str | None = None) -> str | None:
         found = self.read().where((F.col("namespace") == namespace) & (F.col("key") == key)).select("value").first()
@@ -151,10 +192,9 @@ class KeyValueStore:
     def delete(self, keys: DataFrame) -> int:
         from siftwood.operators import rules
 
-        before = self.read()
-        gone = before.join(keys, ["namespace", "key"], "left_semi").count()
+        gone = self.read().join(keys, ["namespace", "key"], "left_semi").count()
         if gone:
-            self._write(rules.delete(before, keys))
+            self.compact(lambda rows: rules.delete(rows, keys).select(rows.columns))
         return gone
 
     def increment(self, namespace: str, key: str, field: str, amount: int = 1) -> None:
@@ -183,8 +223,7 @@ class KeyValueStore:
         self.set(rows.withColumn("updated_at", F.current_timestamp()))
 
     def clear(self, namespace: str | None = None) -> None:
-        rows = self.read()
-        self._write(rows.where(F.col("namespace") != namespace) if namespace else rows.limit(0))
+        self.compact(lambda rows: rows.where(F.col("namespace") != namespace) if namespace else rows.limit(0))
 
     def size(self, namespace: str) -> int:
         return self.read().where(F.col("namespace") == namespace).count()

@@ -76,7 +76,7 @@ def test_scanner():
 def test_obfuscation(spark, source, least, most):
     points = one(spark, scripts.obfuscation(scripts.metrics(F.col("t")), F.col("t"))["score"], t=source)
     assert least <= points <= most
-    assert points == formats.score(scripts.measure(source), source, None)[0]
+    assert points == scripts.score(scripts.measure(source), source, None)[0]
 
 
 DROPPER = "var a = new ActiveXObject('MSXML2.XMLHTTP'); var s = new ActiveXObject('ADODB.Stream'); new ActiveXObject('WScript.Shell').Run('x')"
@@ -146,3 +146,19 @@ def test_contained_keeps_every_signature(spark, blocks):
     assert found.columns == ["doc_id", "ord", "signature"]
     told = [(r.doc_id, r.ord) for r in found.collect()]
     assert sorted(told) == sorted([(d, n) for d, n in brute.items() if n is not None] + [(5, 10_500)])
+
+
+def test_scores_and_texts_by_column_and_by_value(spark):
+    """What columns tell and what workers tell are one definition."""
+    from siftwood.functions import text
+
+    sources = ["eval(a);eval(b);eval(c)", "x" * 6000, "var a='" + "y" * 900 + "';", r"\x41" * 30 + " String.fromCharCode(1)" * 5, "[]()!+" * 20, "/*! jQuery v3.1.0 */ f(1)", "a=1;b=2;c=3;" * 60, ""]
+    rows = spark.createDataFrame([(k, s) for k, s in enumerate(sources)], "k int, s string").withColumn("m", scripts.metrics(F.col("s")))
+    told = {r.k: r for r in rows.select("k", scripts.obfuscation(F.col("m"), F.col("s")).alias("o"), scripts.script_type(F.lit("A.WSF"), F.col("s")).alias("t")).collect()}
+    for k, s in enumerate(sources):
+        lib = next((name for p, name in scripts.LIBRARIES if __import__("re").search(p, s[:2000])), None)
+        assert (told[k].o.score, list(told[k].o.indicators)) == scripts.score(scripts.measure(s), s, lib)
+        assert told[k].t == scripts.kind_of("A.WSF", False, lib) == "Windows Script File"
+    raws = [b"", b"plain", "grün".encode(), "grün".encode("cp1252"), b"\x80\x81\x9f", b"\xef\xbb\xbfmarked", b"\xff\xfeh\0i\0", b"\xfe\xff\0h\0i", b"\xff\xfeodd", b"\xff\xfe\x00\xd8", b"\xef\xbb\xbf\xff"]
+    frame = spark.createDataFrame([(k, bytearray(r)) for k, r in enumerate(raws)], "k int, raw binary").select("k", text.decoded(F.col("raw")).alias("d"))
+    assert {r.k: (r.d.text, r.d.encoding) for r in frame.collect()} == {k: text.decode_bytes(r) for k, r in enumerate(raws)}
