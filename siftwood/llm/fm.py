@@ -21,6 +21,8 @@ class FMSettings:
 
     keep, least_g: so many features that tell most about the label, by the G statistic on the training rows, enter the
     model, if the statistic is above least_g (a chance of about 1 in 2,000 for a feature that tells nothing).
+    partners, keep_beside, least_g_beside: among the rows that have one of so many most telling features, so many others
+    enter if the statistic over those rows alone is above the last (it is taken for many more pairs, so it is higher).
     positive_weight: weight of rows with label 1, as a power of (negatives / positives).
     """
 
@@ -35,6 +37,9 @@ class FMSettings:
     min_rows: int = 5
     keep: int = 4096
     least_g: float = 12.0
+    partners: int = 32
+    keep_beside: int = 256
+    least_g_beside: float = 30.0
     positive_weight: float = 0.5
     seed: int = 7
 
@@ -69,13 +74,16 @@ class FMModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(index, counts), -30, 30)))
 
 
-def informative(rows: list[np.ndarray], labels: np.ndarray, s: FMSettings) -> np.ndarray:
-    """True for the features that enter the model."""
+def _g(index: np.ndarray, owner_labels: np.ndarray, labels: np.ndarray, s: FMSettings) -> np.ndarray:
+    """Each feature's G statistic against the label over some rows; 0 where too few rows have it.
+
+    index: the rows' features, one row after another; owner_labels: the label of each feature's row.
+    """
     n, positives = len(labels), labels.sum()
-    counts = np.array([len(r) for r in rows])
-    index = np.concatenate(rows)
+    if not 0 < positives < n:
+        return np.zeros(s.dimensions)
     seen = np.bincount(index, minlength=s.dimensions).astype(float)
-    hits = np.bincount(index, weights=np.repeat(labels, counts), minlength=s.dimensions)
+    hits = np.bincount(index, weights=owner_labels, minlength=s.dimensions)
 
     def part(observed, expected):
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
@@ -84,9 +92,29 @@ def informative(rows: list[np.ndarray], labels: np.ndarray, s: FMSettings) -> np
     g = part(hits, seen * share) + part(seen - hits, seen * (1 - share))
     g += part(positives - hits, (n - seen) * share) + part(n - positives - (seen - hits), (n - seen) * (1 - share))
     g[seen < s.min_rows] = 0
+    return 2 * g
+
+
+def informative(rows: list[np.ndarray], labels: np.ndarray, s: FMSettings) -> np.ndarray:
+    """True for the features that enter the model: those that tell by themselves, and those that tell beside one of the
+    most telling ones, though they may say nothing alone."""
+    counts = np.array([len(r) for r in rows])
+    index, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), counts)
+    of = labels[owner]
+    g = _g(index, of, labels, s)
     used = np.zeros(s.dimensions, bool)
     best = np.argsort(-g, kind="stable")[: s.keep]
-    used[best[2 * g[best] > s.least_g]] = True
+    best = best[g[best] > s.least_g]
+    used[best] = True
+    beside = np.zeros(s.dimensions)
+    for partner in best[: s.partners].tolist():
+        some = np.zeros(len(rows), bool)
+        some[owner[index == partner]] = True
+        mine = some[owner]
+        beside = np.maximum(beside, _g(index[mine], of[mine], labels[some], s))
+    beside[used] = 0
+    pairs = np.argsort(-beside, kind="stable")[: s.keep_beside]
+    used[pairs[beside[pairs] > s.least_g_beside]] = True
     return used
 
 

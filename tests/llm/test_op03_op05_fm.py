@@ -40,6 +40,35 @@ def test_learns_an_interaction_that_no_linear_model_can():
     assert np.array_equal(fm.train(rows[:3000], np.array(labels[:3000]), settings).linear, model.linear)  # the same each time
 
 
+def test_learns_a_term_that_matters_only_beside_another():
+    """A term as frequent in label 1 as in label 0, which tells nothing alone, but much in rows with another term."""
+    rng = np.random.default_rng(1)
+
+    def make(n):
+        rows, labels = [], []
+        for _ in range(n):
+            insult = rng.random() < 0.3
+            toxic = insult and rng.random() < 0.5
+            group = rng.random() < (0.6 if toxic else 0.05 if insult else 0.72)
+            words = set((rng.choice(2000, 60, replace=False) + 100).tolist())
+            rows.append(np.array(sorted(words | ({1} if insult else set()) | ({2} if group else set()))))
+            labels.append(float(toxic))
+        return rows, np.array(labels)
+
+    rows, labels = make(6000)
+    share = [np.mean([2 in r for r, y in zip(rows, labels) if y == k]) for k in (0, 1)]
+    assert abs(share[0] - share[1]) < 0.05
+    settings = fm.FMSettings(dimensions=4096, keep=1024, rate=0.3, epochs=8)
+    model = fm.train(rows, labels, settings)
+    assert model.used[1] and model.used[2] and model.used.sum() < 40
+    more, told = make(3000)
+    insults = [k for k, r in enumerate(more) if 1 in r]
+    score = model.score(np.concatenate(more), np.array([len(r) for r in more]))
+    assert auc(score[insults], told[insults]) > 0.75
+    blind = fm.train(rows, labels, fm.FMSettings(dimensions=4096, keep=1024, rate=0.3, epochs=8, partners=0))
+    assert auc(blind.score(np.concatenate(more), np.array([len(r) for r in more]))[insults], told[insults]) < 0.6
+
+
 def test_held_out_rows_teach_nothing(spark, documents):
     from pyspark.sql import functions as F
 
