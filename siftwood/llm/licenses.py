@@ -1,6 +1,6 @@
 """License scans through a positional index of vocabulary words, with DataFrame functions only.
 
-Templates are short notices of well-known licences.  Their words, without function words, form a small vocabulary.
+Templates are short notices, and sentences of the texts, of well-known licences.  Their words, without function words, form a small vocabulary.
 1. One pass keeps, of each file, the places of base phrases and of vocabulary words; a file without any keeps nothing.
 2. Document frequencies over all files give each vocabulary word its IDF.
 3. Each occurrence of a vocabulary word meets the word's postings (template, place in the template).  File place minus
@@ -53,8 +53,28 @@ TEMPLATES = (
     Template("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights", "waived all copyright"),
     Template("creative-commons", "this work is licensed under a creative commons attribution", "creative commons attribution"),
+    # sentences of whole licence texts and of the headers that go into files
+    Template("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "except in compliance with the license"),
+    Template("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "unless required by applicable law or agreed to in writing"),
+    Template("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "this permission notice shall be included"),
+    Template("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "must retain the above copyright notice"),
+    Template("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "must reproduce the above copyright notice"),
+    Template("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software", "endorse or promote products derived from this software"),
+    Template("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gnu general public license"),
+    Template("gpl", "you should have received a copy of the gnu general public license along with this program", "received a copy of the gnu general public license"),
+    Template("lgpl", "you should have received a copy of the gnu lesser general public license along with this library", "received a copy of the gnu lesser general public license"),
+    Template("agpl", "you should have received a copy of the gnu affero general public license along with this program", "received a copy of the gnu affero general public license"),
+    Template("mpl-2.0", "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "copy of the mpl was not distributed with this file"),
+    Template("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", "eclipse public license"),
+    Template("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "any person or organization obtaining a copy"),
+    Template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    Template("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose", "anyone is free to copy modify publish use compile sell or distribute"),
 )
-FUNCTION_WORDS = frozenset("a all an and any are as by can for has in into is it law of on or that the this to under use with without you".split())
+FUNCTION_WORDS = frozenset((
+    "a", "all", "an", "and", "any", "are", "as", "at", "be", "by", "can", "for", "from", "has", "have", "if", "in", "into", "is", "it", "its", "law",
+    "may", "must", "no", "nor", "not", "of", "on", "one", "or", "shall", "should", "that", "the", "this", "to", "under", "use", "used", "was", "will",
+    "with", "without", "you",
+))
 
 
 @dataclass(frozen=True)
