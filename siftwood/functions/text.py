@@ -12,6 +12,11 @@ STOP_WORDS = {
     "de": ("der", "die", "das", "und", "ist", "nicht", "ein", "eine", "mit", "sich", "auf", "den", "von", "zu", "im", "dem", "des", "auch", "für", "werden"),
     "en": ("the", "and", "of", "to", "in", "is", "that", "it", "for", "was", "with", "as", "are", "on", "be", "this", "by", "from", "or", "an"),
     "es": ("el", "los", "las", "que", "y", "del", "se", "por", "con", "una", "su", "para", "es", "al", "lo", "como", "más", "pero", "sus", "esta"),
+    "it": ("il", "lo", "gli", "della", "di", "che", "non", "per", "sono", "con", "una", "del", "nel", "anche", "come", "più", "alla", "dei", "è", "questo"),
+    "nl": ("het", "een", "van", "en", "niet", "zijn", "dat", "met", "voor", "op", "ook", "maar", "naar", "bij", "wordt", "deze", "door", "aan", "uit", "nog"),
+    "pl": ("i", "w", "na", "nie", "się", "do", "jest", "że", "z", "to", "jak", "ale", "po", "co", "tak", "przez", "od", "dla", "czy", "tym"),
+    "pt": ("os", "as", "não", "uma", "dos", "das", "com", "em", "para", "mais", "foi", "como", "mas", "ao", "ele", "seu", "sua", "são", "também", "pelo"),
+    "sv": ("och", "att", "det", "som", "en", "på", "är", "av", "för", "med", "till", "den", "inte", "har", "jag", "ett", "var", "från", "om", "sig"),
     "fr": ("le", "les", "et", "des", "que", "est", "du", "dans", "qui", "pour", "pas", "sur", "au", "avec", "ce", "une", "sont", "aux", "ou", "plus"),
 }
 PASSWORD_LINE = r"(?i)(?:pw|kennwort|passwor[dt]|password|passcode)\s*[:\-=\s]\s*(\S.*)"

@@ -933,3 +933,100 @@ def guid_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def printable_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t(spark, sf_dir, "pages").select("page_id", content.printable_strings(F.col("html").cast("binary")).alias("s"))
     return rows.select("page_id", F.size("s").cast("long").alias("runs"), F.array_join("s", "|").alias("strings"))
+
+
+# --- members, classes of reports, links -----------------------------------------------------------------------------
+
+_MEMBERS_SQL = """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN '../' || p_name WHEN 1 THEN '/etc/' || p_name WHEN 2 THEN 'C:\\' || p_name WHEN 3 THEN 'a\\..\\' || p_name WHEN 4 THEN 'a..b/' || p_name ELSE p_name END AS name, p_size AS flags FROM part"""
+
+
+@query(
+    f"""WITH m AS ({_MEMBERS_SQL}) SELECT p_partkey, list_contains(string_split(replace(name, '\\', '/'), '/'), '..') AS traverses, starts_with(replace(name, '\\', '/'), '/') OR regexp_matches(name, '^[A-Za-z]:') AS rooted, flags % 2 = 1 AS encrypted FROM m"""
+)
+def member_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts stand for members of archives, with names that step up or begin at a root, and flags."""
+    k, n = F.col("p_partkey") % 6, F.col("p_name")
+    heads = ("../", "/etc/", "C:\\", "a\\..\\", "a..b/", "")
+    name = F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), (k + 1).cast("int")), n)
+    return t(spark, sf_dir, "part").select("p_partkey", rules.traverses(name).alias("traverses"), rules.absolute(name).alias("rooted"), rules.encrypted(F.col("p_size")).alias("encrypted"))
+
+
+_SHOWN_SQL = """SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'Public Sub x()' || chr(10) || text WHEN 1 THEN 'a.txt <encrypted> [3]' || chr(10) || text WHEN 2 THEN chr(10) || text || chr(10) || 'end' WHEN 3 THEN 'one line' WHEN 4 THEN '  [12] file' ELSE left(text, 40) END AS text,
+CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'label' WHEN 2 THEN NULL ELSE 'other' END AS label, CAST(doc_id % 5 AS INTEGER) AS severity FROM documents"""
+
+
+@query(
+    f"""WITH s AS ({_SHOWN_SQL}), l AS (SELECT *, string_split(text, chr(10)) AS lines FROM s)
+SELECT doc_id, CASE WHEN regexp_matches(text, '(?im)^\\s*(?:attribute vb_|(?:public |private )?(?:sub|function) \\w)') THEN 'vba'
+WHEN len(list_filter(lines[1:5], lambda x: regexp_matches(x, '^\\s*\\[\\d+\\]') OR contains(x, '<encrypted>'))) > 0 THEN 'file_listing'
+WHEN coalesce(label, '') = '' AND len(lines) > 1 AND length(text) > 100 THEN 'body_text' WHEN coalesce(label, '') <> '' AND severity = 4 AND len(lines) = 1 THEN 'metadata' ELSE 'plain' END AS class FROM l"""
+)
+def display_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, line = F.col("doc_id"), F.lit("\n")
+    body = (
+        F.when(k % 6 == 0, F.concat(F.lit("Public Sub x()\n"), "text")).when(k % 6 == 1, F.concat(F.lit("a.txt <encrypted> [3]\n"), "text"))
+        .when(k % 6 == 2, F.concat(line, "text", F.lit("\nend"))).when(k % 6 == 3, "one line").when(k % 6 == 4, "  [12] file").otherwise(F.left("text", F.lit(40)))
+    )
+    label = F.when(k % 4 == 0, "").when(k % 4 == 1, "label").when(k % 4 == 2, F.lit(None).cast("string")).otherwise("other")
+    return t(spark, sf_dir, "documents").select("doc_id", reports.display_class(body, label, (k % 5).cast("int")).alias("class"))
+
+
+@query(
+    """WITH p AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '4D5A' WHEN 1 THEN '7F454C46' WHEN 2 THEN '504B0304' ELSE '' END || hex(encode(left(text, 8))) AS h FROM documents)
+SELECT doc_id, CASE WHEN starts_with(h, '4D5A') OR left(h, 8) = '7F454C46' THEN 0 WHEN starts_with(h, '504B') THEN 1 ELSE 2 END AS severity FROM p"""
+)
+def payload_severities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.element_at(F.array(*[F.lit(h) for h in ("4D5A", "7F454C46", "504B0304", "")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    raw = F.concat(F.unhex(heads), F.left("text", F.lit(8)).cast("binary"))
+    return t(spark, sf_dir, "documents").select("doc_id", scripts.base64_severity(raw).alias("severity"))
+
+
+@query(
+    IOCS_SQL
+    + ", c AS (SELECT doc_id, "
+    + ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in IOC_KINDS)
+    + " FROM iocs GROUP BY doc_id) SELECT doc_id, concat_ws(', ', "
+    + ", ".join(f"CASE WHEN {k} > 0 THEN {k} || ' {name}' END" for k, name in iocs.NAMES.items())
+    + ") AS parts FROM c"
+)
+def ioc_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = t(spark, sf_dir, "documents").select("doc_id", iocs.indicators(F.col("text")).alias("i"))
+    return found.where(iocs.total(F.col("i")) > 0).select("doc_id", F.array_join(iocs.summary_parts(F.col("i")), ", ").alias("parts"))
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS key, event_id AS value FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 99)")
+def kv_deletes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of users with a costly error go, with all that is stored of them."""
+    rows = t(spark, sf_dir, "events").select(F.lit("n").alias("namespace"), F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("value"), "event_type", F.col("value").alias("cost"))
+    gone = rows.where("event_type = 'error' and cost > 99").select("namespace", "key").distinct()
+    return rules.delete(rows, gone).select("key", "value")
+
+
+@query(_THREATS_SQL + " SELECT page_id, pattern, severity, place FROM (SELECT page_id, pattern, severity, row_number() OVER (PARTITION BY page_id ORDER BY severity, ord) AS place FROM m) WHERE place <= 3")
+def worst_threats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three gravest threats of each page."""
+    found = scripts.threats(_sources(spark, sf_dir), F.col("source"), "page_id")
+    return scripts.first_threats_ranked(found, "page_id", n=3).select("page_id", "pattern", "severity", "place")
+
+
+@query(f"SELECT page_id, array_to_string(regexp_extract_all(html, {quoted(text.IMAGE)}, 1), '|') AS images FROM pages")
+def html_image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", F.array_join(text.html_images(F.col("html")), "|").alias("images"))
+
+
+@query(
+    "WITH u AS (SELECT page_id, [url, CASE page_id % 3 WHEN 0 THEN 'https://BIT.ly/' || page_id WHEN 1 THEN 'http://notbitly.example/' || page_id ELSE 'https://t.co/x' END] AS urls FROM pages) "
+    f"SELECT page_id, array_to_string(list_filter(urls, lambda x: regexp_matches(lower(x), {quoted('|'.join(d.replace('.', chr(92) + '.') for d in text.SHORTENERS))})), '|') AS short FROM u"
+)
+def shortened_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("page_id")
+    other = F.when(k % 3 == 0, F.concat(F.lit("https://BIT.ly/"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("http://notbitly.example/"), k.cast("string"))).otherwise("https://t.co/x")
+    return t(spark, sf_dir, "pages").select("page_id", F.array_join(text.shortened_urls(F.array("url", other)), "|").alias("short"))
+
+
+@query(
+    "SELECT doc_id, replace(replace(replace(replace(m, 'hxxp', 'http'), 'HXXP', 'http'), '[.]', '.'), '[@]', '@') AS plain FROM (SELECT doc_id, 'see hxxps://www[.]a' || doc_id || '[.]example or x[@]b[.]example' AS m FROM documents)"
+)
+def refanged_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = F.concat(F.lit("see hxxps://www[.]a"), F.col("doc_id").cast("string"), F.lit("[.]example or x[@]b[.]example"))
+    return t(spark, sf_dir, "documents").select("doc_id", iocs.refanged(made).alias("plain"))
