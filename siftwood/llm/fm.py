@@ -38,7 +38,7 @@ class FMSettings:
     keep: int = 4096
     least_g: float = 12.0
     partners: int = 32
-    keep_beside: int = 256
+    keep_beside: int = 64
     least_g_beside: float = 30.0
     positive_weight: float = 0.5
     seed: int = 7
@@ -74,16 +74,20 @@ class FMModel:
         return 1.0 / (1.0 + np.exp(-np.clip(self.raw(index, counts), -30, 30)))
 
 
-def _g(index: np.ndarray, owner_labels: np.ndarray, labels: np.ndarray, s: FMSettings) -> np.ndarray:
-    """Each feature's G statistic against the label over some rows; 0 where too few rows have it.
-
-    index: the rows' features, one row after another; owner_labels: the label of each feature's row.
-    """
+def _g(rows: list[np.ndarray], labels: np.ndarray, s: FMSettings, step: int = 1024) -> np.ndarray:
+    """Each feature's G statistic against the label over some rows; 0 where too few rows have it."""
     n, positives = len(labels), labels.sum()
     if not 0 < positives < n:
         return np.zeros(s.dimensions)
-    seen = np.bincount(index, minlength=s.dimensions).astype(float)
-    hits = np.bincount(index, weights=owner_labels, minlength=s.dimensions)
+
+    def rows_with(some: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(s.dimensions)
+        for at in range(0, len(some), step):  # a stretch of rows at a time: the driver holds one copy of the features
+            out += np.bincount(np.concatenate(some[at : at + step]), minlength=s.dimensions)
+        return out
+
+    hits = rows_with([r for r, y in zip(rows, labels) if y > 0])
+    seen = hits + rows_with([r for r, y in zip(rows, labels) if y <= 0])
 
     def part(observed, expected):
         return np.where(observed > 0, observed * np.log(np.maximum(observed, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
@@ -98,20 +102,15 @@ def _g(index: np.ndarray, owner_labels: np.ndarray, labels: np.ndarray, s: FMSet
 def informative(rows: list[np.ndarray], labels: np.ndarray, s: FMSettings) -> np.ndarray:
     """True for the features that enter the model: those that tell by themselves, and those that tell beside one of the
     most telling ones, though they may say nothing alone."""
-    counts = np.array([len(r) for r in rows])
-    index, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), counts)
-    of = labels[owner]
-    g = _g(index, of, labels, s)
+    g = _g(rows, labels, s)
     used = np.zeros(s.dimensions, bool)
     best = np.argsort(-g, kind="stable")[: s.keep]
     best = best[g[best] > s.least_g]
     used[best] = True
     beside = np.zeros(s.dimensions)
     for partner in best[: s.partners].tolist():
-        some = np.zeros(len(rows), bool)
-        some[owner[index == partner]] = True
-        mine = some[owner]
-        beside = np.maximum(beside, _g(index[mine], of[mine], labels[some], s))
+        some = [k for k, r in enumerate(rows) if (r == partner).any()]
+        beside = np.maximum(beside, _g([rows[k] for k in some], labels[some], s))
     beside[used] = 0
     pairs = np.argsort(-beside, kind="stable")[: s.keep_beside]
     used[pairs[beside[pairs] > s.least_g_beside]] = True
