@@ -426,3 +426,42 @@ def test_folders_of_images_archives_and_mail(spark, tmp_path):
     assert hashes == {("c.zip", "x.txt"): "900150983cd24fb0d6963f7d28e17f72", ("d.7z", "y.txt"): "900150983cd24fb0d6963f7d28e17f72"}
     dump = next(r.dump for r in sinks.mail_dump(read_files(spark, str(tmp_path), glob="*.eml")).collect())
     assert "From   : Boss <boss@corp.example>" in dump and "Subject: Test" in dump and "note.txt" in dump and dump.startswith("File   : ")
+
+
+def test_store_of_changes(spark, tmp_path):
+    """Changes of two writers, folds that later readers and writers agree on, and a table that cannot be read."""
+    path = tmp_path / "kv"
+    one, two = (sinks.KeyValueStore(spark, str(path)) for _ in range(2))
+    rows = lambda *r: spark.createDataFrame([("a", k, v, datetime(2024, 1, d)) for k, v, d in r], one.SCHEMA)
+    one.set(rows(("x", "1", 1), ("x", "2", 2)))
+    two.set(rows(("y", "3", 1)))
+    two.set(rows(("x", "late but older", 1)))
+    wanted = {("x", "2"), ("y", "3")}
+    read = lambda s: {(r.key, r.value) for r in s.read().collect()}
+    assert read(one) == read(two) == wanted and len(one._names("changes")) == 3
+    one.compact()
+    assert read(two) == wanted and len(one._live()[0]) == 1 and len(one._names("changes")) == 3  # readers may still be at them
+    two.set(rows(("z", "4", 1)))
+    two.compact()
+    assert read(one) == wanted | {("z", "4")} and len(one._names("changes")) == 1
+    one.compact()
+    assert read(two) == wanted | {("z", "4")} and not one._names("changes") and len(one._names("folds")) <= 2
+    one.set(rows(("w", "5", 1)))
+    broken = next((path / "changes").glob("*/*.parquet"))
+    broken.write_bytes(b"no table")
+    for crc in broken.parent.glob(".*.crc"):
+        crc.unlink()
+    assert read(sinks.KeyValueStore(spark, str(path), lenient=True)) == wanted | {("z", "4")}
+    with pytest.raises(Exception):
+        read(one)
+
+
+def test_logging(spark, tmp_path):
+    from siftwood.runtime import setup_logging
+
+    path = tmp_path / "log"
+    log = setup_logging(spark, debug=True, path=str(path))
+    log.debug("a line")
+    setup_logging(spark).debug("not told")
+    spark.sparkContext.setLogLevel("ERROR")
+    assert "a line" in path.read_text() and "not told" not in path.read_text()
