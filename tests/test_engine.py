@@ -119,7 +119,7 @@ def test_renderers(result, name):
 def test_timeline_and_unknown_format(result):
     told = {r.root_id: r.rendered for r in render.render(result, "timeline").collect()}
     assert "2024-01-01T09:00:00Z  Email date                a.eml" in told["/in/a.eml"].splitlines() and told["/in/b.txt"] == "No timeline events found."
-    with pytest.raises(ValueError, match="html, json, markdown"):
+    with pytest.raises(ValueError, match="html, json, legacy, markdown"):
         render.render(result, "pdf")
 
 
