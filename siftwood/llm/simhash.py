@@ -213,15 +213,15 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _dealt(reps: DataFrame, n_reps: int, scratch: Scratch, max_bucket: int) -> DataFrame:
-    """(mask, fp, rep): each of n_reps fingerprints in all buckets that it has to be compared in."""
+def _dealt(reps: DataFrame, scratch: Scratch, max_bucket: int, n_reps: int | None = None) -> DataFrame:
+    """(mask, fp, rep): each fingerprint in all buckets that it has to be compared in; n_reps: how many there are."""
     masks, done = _parts(0), []
     rows = reps.select(F.explode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("mask"), "fp", "rep")
     while True:
         key = F.col("fp").bitwiseAND(F.col("mask"))
         heavy = scratch.save(
             rows.groupBy("mask", key.alias("key")).count().where(F.col("count") > max_bucket).select("mask", "key"),
-            n_reps * len(masks) // max_bucket,
+            n_reps if n_reps is None else n_reps * len(masks) // max_bucket,
         )
         n = heavy.count()
         if not n or len(masks) >= 4**5:
@@ -299,7 +299,7 @@ def simhash_components(
         prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), prints.count()
     )
     n_reps = reps.count()
-    dealt = _dealt(reps, n_reps, scratch, max_bucket)
+    dealt = _dealt(reps, scratch, max_bucket, n_reps)
     n_dealt = dealt.count()
     tasks = tasks_for(spark, n_dealt, task_rows)
     edges = dealt.repartition(tasks, "mask", F.col("fp").bitwiseAND(F.col("mask"))).mapInArrow(_stars(radius), "a long, b long")
