@@ -12,17 +12,25 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
-#: What a worker is handed at once where the session says nothing else: rows, and bytes where Spark can count them.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1024, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+#: What is held at once where the session says nothing else.  To a worker: rows, and bytes where Spark can count them.
+#: By the executor's JVM: rows of a Parquet file that is read, and bytes of one that is written before a row group ends.
+BATCH = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": 256,
+    "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20,
+    "spark.sql.parquet.columnarReaderBatchSize": 128,
+    "parquet.block.size": 8 << 20,
+}
 
 
 def _small_batches(spark: SparkSession) -> None:
-    """Texts differ in length by orders of magnitude, and Spark's batches of 10,000 rows can outgrow a worker.
+    """Texts differ in length by orders of magnitude: Spark's batches of 10,000 rows can outgrow a worker, and those of
+    4,096 rows that it reads make arrays of megabytes, over which the executor's heap grows and stays large.
 
-    Only settings that the session has not made itself are changed.
+    Only settings that the session, or its Hadoop configuration, has not made itself are changed.
     """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
     for key, most in BATCH.items():
-        if spark.conf.get(key, None) is None:
+        if spark.conf.get(key, None) is None and hadoop.get(key) is None:
             spark.conf.set(key, str(most))
 
 
